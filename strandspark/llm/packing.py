@@ -130,12 +130,8 @@ def pack_block(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
     return windows + [w for w in packed if w]
 
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-
-
-def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (the piece's, unsigned little-endian, 2 or 4 bytes wide), doc_tokens,
-    sequence_id and offset in the sequence."""
+def _pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end_id: int, capacity: int, name: str, kind: str, make) -> DataFrame:
+    """Pieces, with the column ``name`` made of each piece's ids (bytes) and their width."""
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
@@ -156,23 +152,21 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str |
         for s, w in enumerate(pack_block(lengths, capacity)):
             at = 0
             for d, start, n in w:
-                rows.append((docs_[d], start, n, ids[d][start * width : (start + n) * width], lengths[d], base + s, at))
+                rows.append((docs_[d], start, n, make(ids[d][start * width : (start + n) * width], width), lengths[d], base + s, at))
                 at += n
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"])
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.mapInPandas(tokenised, "block bigint, doc_id bigint, ids binary").groupBy("block").applyInPandas(packed, PIECES)
+    schema = f"doc_id bigint, start bigint, length bigint, {name} {kind}, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return docs.mapInPandas(tokenised, "block bigint, doc_id bigint, ids binary").groupBy("block").applyInPandas(packed, schema)
 
 
-def piece_digests(pieces: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The pieces with ids_crc32 in the place of their ids."""
-    vocabulary = vocabulary or default_vocabulary()
+def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (the piece's, little-endian unsigned 32-bit), doc_tokens,
+    sequence_id and offset in the sequence."""
+    return _pack(docs, id_col, text_col, vocabulary, end_id, capacity, "ids", "binary", wide)
 
-    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = encoder(vocabulary).width
-        for b in batches:
-            yield b.assign(ids_crc32=[zlib.crc32(wide(x, width)) for x in b["ids"]]).drop(columns="ids")
 
-    schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
-    out = pieces.mapInPandas(digested, schema)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def pack_digests(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:
+    """The same pieces with ids_crc32, of the ids that :func:`pack` returns, in the place of ids."""
+    return _pack(docs, id_col, text_col, vocabulary, end_id, capacity, "ids_crc32", "bigint", lambda ids, width: zlib.crc32(wide(ids, width)))

@@ -30,7 +30,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents")))
+    return packing.pack_digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
