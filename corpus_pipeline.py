@@ -30,7 +30,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their checksum; repeats of a document are packed each for itself."""
-    return packing.piece_digests(packing.pack(docs))
+    return packing.pack_digests(docs)
 
 
 STAGES = [
