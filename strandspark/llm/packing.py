@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.tokens import default_vocabulary, encoder, wide
+from strandspark.llm.tokens import default_vocabulary, encode_batches, encoder, wide
 
 BLOCK_BYTES = 4 << 20
 SLACK = 0.004
@@ -133,15 +132,13 @@ def pack_block(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
 def _pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end_id: int, capacity: int, name: str, kind: str, make) -> DataFrame:
     """Pieces, with the column ``name`` made of each piece's ids (bytes) and their width."""
     vocabulary = vocabulary or default_vocabulary()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "doc_id", F.octet_length("text")), F.lit(blocks)))
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
-        for b in batches:
-            yield pd.DataFrame({"block": b["block"], "doc_id": b["doc_id"], "ids": [enc.document(t, end_id) for t in b["text"]]})
+    def tokenised(batches):
+        return encode_batches(batches, vocabulary, end_id)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         width = encoder(vocabulary).width
@@ -158,7 +155,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, e
         return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     schema = f"doc_id bigint, start bigint, length bigint, {name} {kind}, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.mapInPandas(tokenised, "block bigint, doc_id bigint, ids binary").groupBy("block").applyInPandas(packed, schema)
+    return docs.select("block", "doc_id", "text").mapInArrow(tokenised, "block bigint, doc_id bigint, ids binary").groupBy("block").applyInPandas(packed, schema)
 
 
 def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm._graph import components
-from strandspark.llm._shared import materialize
+from strandspark.llm._shared import materialize, partitions
 
 RADIUS = 3
 SHARD = 1024
 LEVELS = 5
-#: Rows of shards that one task searches at a time, about.
+#: Rows of shards that one task searches at a time, at most about.
 TASK_ROWS = 60_000
 #: (query, node) pairs of one step of a search.
 FRONTIER = 1 << 20
@@ -184,7 +184,7 @@ def near_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
         last = level == LEVELS - 1
         large = materialize(counts.where(F.lit(not last) & (F.col("n") > shard)).select("key"), "simhash-large")
         small = rows.join(large, "key", "left_anti")
-        tasks = max(1, -(-rows.count() // TASK_ROWS))
+        tasks = max(2 * partitions(rows.sparkSession), -(-rows.count() // TASK_ROWS))
         small = small.withColumn("task", F.pmod(F.xxhash64(F.lit(10), "key"), F.lit(tasks)).cast("int"))
         found = small.select("task", "key", "fp", "id").groupBy("task").applyInPandas(shard_links, "a bigint, b bigint")
         links = materialize(found.distinct(), "simhash-links") if links is None else links.union(materialize(found.distinct(), "simhash-links"))

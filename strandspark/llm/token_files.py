@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.llm._shared import fresh_dir, materialize, partitions, range_bounds, write_file
-from strandspark.llm.tokens import default_vocabulary, encoder, wide
+from strandspark.llm.tokens import default_vocabulary, encode_batches, encoder, wide
 
 MAGIC = b"SSEFTOK1"
 #: Ids a shard file holds at most, unless one document alone has more.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 SAMPLE = 64
 
 
@@ -153,37 +153,42 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col="doc_id", text_col
     n = partitions(docs.sparkSession)
     bounds = np.array(range_bounds(docs, "doc_id", min(4096, 2 * n)), np.int64)
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
-        for b in batches:
-            null = b["doc_id"].isna()
-            bucket = np.where(null, len(bounds), np.searchsorted(bounds, b["doc_id"].fillna(0).astype("int64"), side="right"))
-            yield pd.DataFrame({"bucket": bucket, "doc_id": b["doc_id"], "ids": [enc.document(t, end_id) for t in b["text"]]})
+    def tokenised(batches):
+        import pyarrow as pa
+
+        for part in encode_batches(batches, vocabulary, end_id):
+            doc_id = part.column("doc_id")
+            bucket = np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(), side="right").astype("int32")
+            bucket[doc_id.is_null().to_numpy(zero_copy_only=False)] = len(bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), doc_id, part.column("ids")], names=["bucket", "doc_id", "ids"])
+
+    def written(batches):
+        import pyarrow as pa
 
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = encoder(vocabulary).width
         key, seq, held, doc_ids, ids = None, 0, 0, [], []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             name = f"b{key:05d}-{seq:06d}.eftok"
             write_file(f"{folder}/{name}", encode_shard(doc_ids, ids, width))
-            return pd.DataFrame({"bucket": [key], "seq": [seq], "file": [name], "n_docs": [len(ids)], "n_ids": [held]})
+            row = {"bucket": pa.array([key], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": [len(ids)], "n_ids": [held]}
+            return pa.RecordBatch.from_pydict(row)
 
         for b in batches:
-            for k, d, x in zip(b["bucket"], b["doc_id"], b["ids"]):
+            for k, d, x in zip(*(b.column(n).to_pylist() for n in ("bucket", "doc_id", "ids"))):
                 if ids and (k != key or held + len(x) // width > SHARD_IDS):
                     yield close()
                     seq, held, doc_ids, ids = (seq + 1 if k == key else 0), 0, [], []
                 key = int(k)
-                doc_ids.append(None if pd.isna(d) else int(d))
+                doc_ids.append(d)
                 ids.append(x)
                 held += len(x) // width
         if ids:
             yield close()
 
-    spread = docs.mapInPandas(tokenised, "bucket int, doc_id bigint, ids binary").repartitionById(len(bounds) + 1, F.col("bucket"))
+    spread = docs.mapInArrow(tokenised, "bucket int, doc_id bigint, ids binary").repartitionById(len(bounds) + 1, F.col("bucket"))
     ordered = spread.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
-    manifest = materialize(ordered.mapInPandas(written, "bucket int, seq int, file string, n_docs bigint, n_ids bigint"), "token-manifest")
+    manifest = materialize(ordered.mapInArrow(written, "bucket int, seq int, file string, n_docs bigint, n_ids bigint"), "token-manifest")
     per = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("b_ids"))
     per = per.withColumn("b_first", F.sum("b_ids").over(Window.orderBy("bucket")) - F.col("b_ids")).drop("b_ids")
     inside = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("seq")) - F.col("n_ids")
