@@ -1,11 +1,614 @@
-"""Relational twins of the library's operators over the driver's tables."""
+"""Relational twins of the library's operators over the driver's tables, each with SQL for DuckDB.
+
+Orders are by unique columns (o_orderkey, p_partkey, event_id ...), since (l_orderkey, l_linenumber) is not unique.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandspark.functions import bits, text
+from strandspark.operators import accumulators as acc
+from strandspark.operators import ordered, pbwt, sets
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-def queries() -> dict:
-    return {}
+
+def twin(sql: str):
+    """Register a function of the tables under its name, with its oracle."""
+
+    def wrap(f: Callable[[Tables], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        _SQL[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+c = F.col
+
+# --- filters and projections ------------------------------------------------------------------------------------------
+
+
+@twin("SELECT user_id, event_id, event_id - lag(event_id) OVER w AS distance FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY distance IS NOT NULL")
+def variant_distances(t):
+    return ordered.distances(t.events, ["user_id"], ["event_id"], "event_id").select("user_id", "event_id", "distance")
+
+
+@twin("SELECT user_id, count(*) AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE value < p GROUP BY user_id")
+def sortedness_check(t):
+    return ordered.unsorted_rows(t.events, ["user_id"], ["event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@twin("SELECT l_orderkey, l_linenumber % 2 AS copy, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY ALL")
+def count_per_copy(t):
+    return t.lineitem.groupBy("l_orderkey", (c("l_linenumber") % 2).alias("copy")).agg(F.count_if(c("l_quantity") > 25).alias("n"))
+
+
+@twin("SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ps, count(*) AS n FROM events GROUP BY ALL")
+def phase_sets(t):
+    return t.events.groupBy("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("ps")).agg(F.count("*").alias("n"))
+
+
+@twin("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def chrom_filter(t):
+    return t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@twin("SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part) WHERE length(word) <= 5")
+def snp_filter(t):
+    kept = F.filter(F.split("p_type", " "), lambda w: F.length(w) <= 5)
+    return t.part.select("p_partkey", F.explode(kept).alias("word"))
+
+
+@twin("SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_returnflag, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY ALL) WHERE n = 2")
+def zygosity_exact_k(t):
+    per = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count_if(c("l_quantity") > 25).alias("n"))
+    return per.where("n = 2").select("l_orderkey").distinct()
+
+
+@twin("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def sample_include(t):
+    return t.customer.where(c("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+
+
+@twin("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def sample_exclude(t):
+    return t.customer.where(~c("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+
+
+@twin("SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS allele FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity > 10)")
+def alt_prune_renumber(t):
+    used = t.lineitem.where("l_quantity > 10").select("l_orderkey", "l_suppkey").distinct()
+    return used.withColumn("allele", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_suppkey")))
+
+
+@twin("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def info_project(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@twin("SELECT event_id, ts, user_id, event_type FROM events")
+def info_omit(t):
+    return t.events.drop("props", "value")
+
+
+@twin("SELECT event_id, CASE WHEN value < 10 THEN 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) ELSE event_type END AS id FROM events")
+def fill_missing_id(t):
+    missing = c("value") < 10
+    n = F.row_number().over(Window.partitionBy(missing).orderBy("event_id"))
+    return t.events.select("event_id", F.when(missing, F.concat(F.lit("id"), n)).otherwise(c("event_type")).alias("id"))
+
+
+@twin("SELECT event_id FROM events WHERE NOT coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50, false)")
+def drop_if_info_set(t):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return t.events.where(~F.coalesce(k > 50, F.lit(False))).select("event_id")
+
+
+@twin("SELECT p_brand, count(*) FILTER (substr(p_name, 1, 1) <> substr(p_brand, 1, 1)) AS mismatches, count(*) FILTER (substr(p_name, 1, 1) = substr(p_brand, 1, 1)) AS matches FROM part GROUP BY p_brand")
+def ref_check(t):
+    differs = F.substring("p_name", 1, 1) != F.substring("p_brand", 1, 1)
+    return t.part.groupBy("p_brand").agg(F.count_if(differs).alias("mismatches"), F.count_if(~differs).alias("matches"))
+
+
+@twin("SELECT p_partkey, CASE WHEN p_size = 1 THEN substr(p_name, 1, 1) || p_brand ELSE substr(p_brand, length(p_brand), 1) || p_name END AS ref, CASE WHEN p_size > 1 THEN p_size - 1 ELSE p_size END AS pos FROM part")
+def deletion_rewrite(t):
+    first = c("p_size") == 1
+    ref = F.when(first, F.concat(F.substring("p_name", 1, 1), "p_brand")).otherwise(F.concat(F.substring("p_brand", -1, 1), "p_name"))
+    return t.part.select("p_partkey", ref.alias("ref"), F.when(c("p_size") > 1, c("p_size") - 1).otherwise(c("p_size")).alias("pos"))
+
+
+@twin("SELECT event_id, coalesce(CASE WHEN value > 50 THEN user_id END, event_id + length(event_type)) AS end_pos FROM events")
+def end_pos(t):
+    return t.events.select("event_id", F.coalesce(F.when(c("value") > 50, c("user_id")), c("event_id") + F.length("event_type")).alias("end_pos"))
+
+
+@twin("SELECT l_orderkey, l_partkey, (l_partkey & 2304) = 0 AS is_primary, l_linenumber - 33 AS mapq FROM lineitem")
+def flag_mask(t):
+    return t.lineitem.select("l_orderkey", "l_partkey", (c("l_partkey").bitwiseAND(2304) == 0).alias("is_primary"), (c("l_linenumber") - 33).alias("mapq"))
+
+
+@twin("SELECT c_custkey, c_nationkey - 12 < c_custkey AS lt, c_nationkey - 12 = c_custkey AS eq, c_nationkey - 12 <= c_custkey AS lte FROM customer")
+def mixed_sign_compare(t):
+    a, b = (c("c_nationkey") - 12).cast("decimal(20,0)"), c("c_custkey").cast("decimal(20,0)")
+    return t.customer.select("c_custkey", (a < b).alias("lt"), (a == b).alias("eq"), (a <= b).alias("lte"))
+
+
+# --- intervals and joins ----------------------------------------------------------------------------------------------
+
+_REGIONS = "SELECT event_type AS chrom, user_id * 20 AS b, user_id * 20 + 15 + CAST(floor(value) AS BIGINT) % 20 AS e FROM events"
+_MERGED = f"""SELECT chrom, min(b) AS "begin", max(e) AS "end" FROM (
+  SELECT *, sum(CASE WHEN b < reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_REGIONS}))) GROUP BY chrom, island"""
+
+
+def _regions(t):
+    end = c("user_id") * 20 + 15 + F.pmod(F.floor("value"), F.lit(20))
+    return t.events.select(c("event_type").alias("chrom"), (c("user_id") * 20).alias("begin"), end.alias("end"))
+
+
+@twin(_MERGED)
+def interval_merge(t):
+    return ordered.merge_intervals(_regions(t), ["chrom"], "begin", "end")
+
+
+@twin(f'SELECT event_id, event_type AS chrom FROM events v WHERE EXISTS (SELECT 1 FROM ({_MERGED}) r WHERE r.chrom = v.event_type AND r."begin" <= v.event_id % 20000 AND v.event_id % 20000 < r."end")')
+def region_semijoin(t):
+    rows = t.events.select("event_id", c("event_type").alias("chrom"))
+    return ordered.in_regions(rows, ordered.merge_intervals(_regions(t), ["chrom"], "begin", "end"), "chrom", c("event_id") % 20000)
+
+
+@twin("SELECT 'type' AS kind, p_type AS id, 2 AS files FROM (SELECT p_type, count(DISTINCT p_size) AS n FROM (SELECT p_type, min(p_size) AS p_size, 0 AS f FROM part WHERE p_partkey % 2 = 0 GROUP BY p_type UNION ALL SELECT p_type, min(p_size), 1 FROM part WHERE p_partkey % 2 = 1 GROUP BY p_type) GROUP BY p_type HAVING count(*) = 2 AND n = 2)")
+def metadata_mismatch(t):
+    file = c("p_partkey") % 2
+    meta = t.part.groupBy(c("p_type").alias("id"), file.alias("file")).agg(F.min("p_size").alias("number")).withColumn("kind", F.lit("type")).withColumn("type", F.lit("Integer"))
+    return sets.mismatched_metadata(meta).select("kind", "id", c("files").cast("int").alias("files"))
+
+
+@twin("SELECT o_orderkey, f, row_number() OVER (ORDER BY o_orderdate, f, o_orderkey) AS position FROM (SELECT *, 0 AS f FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT *, 1 AS f FROM orders WHERE o_orderstatus <> 'F')")
+def kway_merge(t):
+    first, second = (t.orders.where(x).select("o_orderkey", "o_orderdate") for x in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"))
+    merged = ordered.kway_merge([first, second], ["o_orderdate"], "f")
+    return ordered.stable_sort(merged, c("o_orderdate"), ["f", "o_orderkey"]).select("o_orderkey", "f", "position")
+
+
+def _two_sides(t):
+    e = t.events.select(F.floor("value").alias("key"), c("event_id").alias("idx"), "event_type")
+    return (e.where(f"event_type {op} 'click'").select("key", "idx") for op in ("=", "<>"))
+
+
+_SIDES = "SELECT CAST(floor(value) AS BIGINT) AS key, event_id AS idx, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS side FROM events"
+
+
+@twin(f"SELECT key, idx, side, row_number() OVER (ORDER BY key, side DESC, idx) AS position FROM ({_SIDES})")
+def merge_projected_ties_right(t):
+    left, right = _two_sides(t)
+    return ordered.merge_projected(left, right, "key").withColumn("position", F.row_number().over(Window.orderBy("key", F.desc("side"), "idx")))
+
+
+@twin(f"SELECT key, idx, side FROM (SELECT *, max(CASE WHEN key >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY side ORDER BY idx) AS stop FROM ({_SIDES})) WHERE stop = 0")
+def merge_projected_stop(t):
+    return ordered.merge_projected(*_two_sides(t), "key", stop_at=300)
+
+
+@twin("SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k")
+def set_union_sides(t):
+    o = t.orders.select(c("o_custkey").alias("key"), "o_orderstatus")
+    return sets.sides(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "key")
+
+
+@twin("SELECT l_partkey, count(*) AS n FROM lineitem a WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_returnflag <> 'R') GROUP BY l_partkey")
+def private_alleles(t):
+    inside, outside = t.lineitem.where("l_returnflag = 'R'"), t.lineitem.where("l_returnflag <> 'R'")
+    return sets.difference(inside.select("l_partkey", "l_suppkey"), outside, ["l_partkey", "l_suppkey"]).groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+@twin("SELECT o_orderkey AS rec, i - 1 AS col, ascii(substr(o_orderpriority, CAST(i AS INT), 1)) AS val FROM (SELECT o_orderkey, o_orderpriority, unnest(generate_series(1, length(o_orderpriority))) AS i FROM orders)")
+def genotype_matrix(t):
+    cells = t.orders.select(c("o_orderkey").alias("rec"), F.posexplode(F.split("o_orderpriority", "")).alias("col", "ch"))
+    return cells.select("rec", c("col").cast("bigint").alias("col"), F.ascii("ch").alias("val"))
+
+
+# --- statistics -------------------------------------------------------------------------------------------------------
+
+
+def _agg(name: str, spark_fn, sql_fn: str) -> None:
+    sql = f"SELECT l_returnflag, l_linestatus, {sql_fn} AS v FROM lineitem GROUP BY ALL"
+
+    def f(t):
+        return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(spark_fn().alias("v"))
+
+    f.__name__ = name
+    twin(sql)(f)
+
+
+_agg("acc_sum", lambda: F.round(F.sum("l_quantity"), 2), "round(sum(l_quantity), 2)")
+_agg("acc_mean", lambda: F.round(F.avg("l_quantity"), 6), "round(avg(l_quantity), 6)")
+_agg("acc_min", lambda: F.min("l_extendedprice"), "min(l_extendedprice)")
+_agg("acc_max", lambda: F.max("l_extendedprice"), "max(l_extendedprice)")
+
+
+@twin("SELECT l_returnflag, min(s) AS min_sum FROM (SELECT l_returnflag, l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS s FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def acc_min_sum(t):
+    rows = t.lineitem.withColumn("q", c("l_quantity").cast("bigint"))
+    return acc.across_parts(rows, ["l_returnflag"], "l_suppkey", "q", "min")
+
+
+@twin("SELECT l_returnflag, max(s) AS max_sum FROM (SELECT l_returnflag, l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS s FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def acc_max_sum(t):
+    rows = t.lineitem.withColumn("q", c("l_quantity").cast("bigint"))
+    return acc.across_parts(rows, ["l_returnflag"], "l_suppkey", "q", "max")
+
+
+_R = "SELECT l_returnflag, round(greatest(-1, least(1, covar_pop(l_quantity, l_extendedprice) / sqrt(var_pop(l_quantity) * var_pop(l_extendedprice)))), 6) AS r FROM lineitem GROUP BY l_returnflag"
+
+
+@twin(_R)
+def pearson(t):
+    return acc.pearson(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", F.round("r", 6).alias("r"))
+
+
+@twin(_R)
+def pearson_pairwise(t):
+    states = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(*acc.moments("l_quantity", "l_extendedprice"))
+    return acc.merged_moments(states, ["l_returnflag"]).select("l_returnflag", F.round(acc.correlation(), 6).alias("r"))
+
+
+_PAIR = "SELECT l_orderkey, coalesce(list(DISTINCT l_linenumber) FILTER (l_returnflag = 'N'), []) AS a, coalesce(list(DISTINCT l_linenumber) FILTER (l_returnflag <> 'N'), []) AS b FROM lineitem GROUP BY l_orderkey"
+
+
+def _pair(t):
+    n = c("l_returnflag") == "N"
+    return t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.when(n, c("l_linenumber"))).alias("a"), F.collect_set(F.when(~n, c("l_linenumber"))).alias("b"))
+
+
+@twin(f"SELECT l_orderkey, len(a) + len(b) - 2 * len(list_intersect(a, b)) AS n FROM ({_PAIR})")
+def symdiff_size(t):
+    return _pair(t).select("l_orderkey", sets.symmetric_difference_size(c("a"), c("b")).cast("bigint").alias("n"))
+
+
+@twin(f"SELECT l_orderkey, len(list_intersect(a, b)) AS n FROM ({_PAIR})")
+def intersection_size(t):
+    return _pair(t).select("l_orderkey", sets.intersection_size(c("a"), c("b")).cast("bigint").alias("n"))
+
+
+@twin(f"SELECT l_orderkey, len(list_intersect(a, b)) > 0 AS meets FROM ({_PAIR})")
+def nonempty_intersection(t):
+    return _pair(t).select("l_orderkey", sets.nonempty_intersection(c("a"), c("b")).alias("meets"))
+
+
+_RUNS = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events"
+
+
+@twin(f"SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM ({_RUNS}) GROUP BY user_id, event_type, g")
+def run_lengths(t):
+    runs = ordered.run_numbers(t.events, ["user_id"], ["event_id"], "event_type")
+    return runs.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).drop("run")
+
+
+@twin("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+def count_items(t):
+    return t.part.groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@twin("SELECT min(p_size) AS lo, max(p_size) AS hi FROM part")
+def identifier_min_max(t):
+    return t.part.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+
+
+@twin("SELECT event_type, arg_min(event_id, (floor(value), event_id)) AS argmin, arg_max(event_id, (floor(value), -event_id)) AS argmax FROM events GROUP BY event_type")
+def argmin_argmax(t):
+    return acc.first_extremes(t.events.withColumn("v", F.floor("value")), ["event_type"], "v", "event_id")
+
+
+@twin("SELECT user_id, CAST(bit_or(CAST(1 AS BIGINT) << CAST(event_id % 60 AS INT)) AS BIGINT) AS mask FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY floor(value) DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id")
+def argmax_mask(t):
+    rows = t.events.select("user_id", F.floor("value").alias("v"), (c("event_id") % 60).alias("i"))
+    return acc.argmax_mask(rows, ["user_id"], "v", "i")
+
+
+@twin("SELECT o_orderkey, least(o_orderkey, o_custkey * 10) AS lo, greatest(o_orderkey, o_custkey * 10) AS hi FROM orders")
+def least_greatest(t):
+    return t.orders.select("o_orderkey", F.least("o_orderkey", c("o_custkey") * 10).alias("lo"), F.greatest("o_orderkey", c("o_custkey") * 10).alias("hi"))
+
+
+@twin("SELECT l_orderkey, l_suppkey, l_returnflag, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS gt FROM lineitem GROUP BY ALL")
+def merge_genotypes(t):
+    carries = F.when(c("l_quantity") > 25, 1).otherwise(0)
+    return t.lineitem.groupBy("l_orderkey", "l_suppkey", "l_returnflag").agg(F.max(carries).alias("gt"))
+
+
+@twin("SELECT 'nation-' || n_nationkey AS id, sum(n) AS size FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1 UNION ALL SELECT 'region-' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 'world', count(*) FROM customer".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
+def rollup_tree(t):
+    nations = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("size")).join(t.nation, c("c_nationkey") == c("n_nationkey"))
+    leaves = nations.select(F.concat(F.lit("nation-"), "n_nationkey").alias("id"), F.concat(F.lit("region-"), "n_regionkey").alias("parent"), "size")
+    regions = leaves.select(c("parent").alias("id"), F.lit("world").alias("parent"), F.lit(0).cast("bigint").alias("size")).distinct()
+    world = t.spark.range(1).select(F.lit("world").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("size"))
+    return acc.rollup_sizes(leaves.union(regions).union(world), 3)
+
+
+# --- positional Burrows-Wheeler -----------------------------------------------------------------------------------------
+
+_SEQ = "(SELECT p_partkey AS row_idx, lpad(bin(p_size), 6, '0') AS seq FROM part)"
+_COLS = f"(SELECT row_idx, col, reverse(substr(seq, 1, CAST(col AS INT) + 1)) AS suffix FROM {_SEQ}, (SELECT unnest(generate_series(0, 5)) AS col))"
+_RANKED = f"(SELECT col, row_idx, suffix, row_number() OVER w - 1 AS rank, lag(suffix) OVER w AS last FROM {_COLS} WINDOW w AS (PARTITION BY col ORDER BY suffix, row_idx))"
+_AGREE = "len(list_filter(generate_series(1, col + 1), lambda i: substr(suffix, CAST(i AS INT) * 0 + 1, CAST(i AS INT)) = substr(last, 1, CAST(i AS INT))))"
+_DIV = f"(SELECT col, row_idx, rank, CASE WHEN last IS NULL THEN col + 1 ELSE col + 1 - {_AGREE} END AS divergence FROM {_RANKED})"
+
+
+def _seq(t):
+    return t.part.select(c("p_partkey").alias("row_idx"), F.lpad(F.bin("p_size"), 6, "0").alias("seq"))
+
+
+@twin(f"SELECT CAST(col AS INT) AS col, row_idx, rank FROM {_RANKED}")
+def pbwt_rank(t):
+    return pbwt.ranked(_seq(t), 6).select("col", "row_idx", "rank")
+
+
+@twin(f"SELECT CAST(col AS INT) AS col, row_idx, CAST(divergence AS BIGINT) AS divergence FROM {_DIV}")
+def pbwt_divergence(t):
+    return pbwt.ranked(_seq(t), 6).select("col", "row_idx", "divergence")
+
+
+@twin(f"SELECT CAST(col AS INT) AS col, CAST(divergence AS BIGINT) AS divergence, count(*) AS n FROM {_DIV} GROUP BY ALL")
+def divergence_hist(t):
+    return pbwt.divergence_counts(pbwt.ranked(_seq(t), 6))
+
+
+@twin(f"SELECT CAST(col AS INT) AS col, count(*) FILTER (divergence > 2) AS n FROM {_DIV} GROUP BY ALL")
+def unique_substring_count(t):
+    return pbwt.unique_substring_count(pbwt.ranked(_seq(t), 6), 2)
+
+
+_RUNSUB = f"SELECT CAST(col AS INT) AS col, substr(seq, 3, CAST(col AS INT) - 1) AS s, row_idx FROM {_SEQ}, (SELECT unnest(generate_series(2, 5)) AS col)"
+
+
+@twin(f"SELECT col, copies, first_row FROM (SELECT col, s, count(*) AS copies, min(row_idx) AS first_row FROM ({_RUNSUB}) GROUP BY col, s)")
+def unique_substring_runs(t):
+    return pbwt.substring_runs(_seq(t), 6, 2)
+
+
+_CUT = f"SELECT row_idx, CAST(col AS INT) AS col, substr(seq, CAST(col AS INT) - 2, 4) AS s FROM {_SEQ}, (SELECT unnest(generate_series(3, 5)) AS col)"
+
+
+@twin(f'SELECT row_idx, leader, min(col) - 3 AS "begin", max(col) + 1 AS "end" FROM (SELECT row_idx, leader, col, col - row_number() OVER (PARTITION BY row_idx, leader ORDER BY col) AS g FROM (SELECT *, min(row_idx) OVER (PARTITION BY col, s) AS leader FROM ({_CUT})) WHERE row_idx <> leader) GROUP BY row_idx, leader, g')
+def msa_identity(t):
+    return pbwt.identity_regions(_seq(t), 6, 4)
+
+
+# --- sorts, partitions, sets --------------------------------------------------------------------------------------------
+
+
+@twin("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS position FROM part")
+def radix_sort(t):
+    return ordered.stable_sort(t.part, c("p_size"), ["p_partkey"]).select("p_partkey", "position")
+
+
+@twin("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS position FROM part")
+def radix_sort_desc(t):
+    return ordered.stable_sort(t.part, F.desc("p_size"), ["p_partkey"]).select("p_partkey", "position")
+
+
+@twin("SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) + (SELECT count(*) FROM part b WHERE b.p_size < a.p_size) AS position FROM part a")
+def counting_sort(t):
+    counts = t.part.groupBy("p_size").agg(F.count("*").alias("n"))
+    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("p_size")) - c("n")).select("p_size", "start")
+    inside = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    return t.part.withColumn("_in", inside).join(starts, "p_size").select("p_partkey", (c("start") + c("_in")).alias("position"))
+
+
+@twin("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, c_custkey) AS position FROM customer")
+def stable_partition(t):
+    return ordered.stable_partition(t.customer, c("c_acctbal") > 0, ["c_custkey"]).select("c_custkey", "position")
+
+
+_AT = "SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 450000"
+
+
+@twin(f"SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey IN ({_AT}) THEN 1 ELSE 0 END, c_custkey) AS position FROM customer")
+def partition_at_indices(t):
+    at = t.orders.where("o_totalprice > 450000").select(c("o_custkey").alias("c_custkey")).distinct().withColumn("_at", F.lit(1))
+    return ordered.stable_partition(t.customer.join(at, "c_custkey", "left"), c("_at").isNull(), ["c_custkey"]).select("c_custkey", "position")
+
+
+@twin(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN ({_AT})")
+def remove_at_indices(t):
+    at = t.orders.where("o_totalprice > 450000").select(c("o_custkey").alias("c_custkey")).distinct()
+    return ordered.remove_at(t.customer.select("c_custkey"), "c_custkey", at)
+
+
+@twin("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
+def set_difference(t):
+    return sets.difference(t.customer.select(c("c_custkey").alias("k")), t.orders.where("o_totalprice > 400000").select(c("o_custkey").alias("k")), ["k"])
+
+
+@twin("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(t):
+    return sets.union(t.customer.select(c("c_nationkey").alias("k")), t.supplier.select(c("s_nationkey").alias("k")), ["k"])
+
+
+@twin("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rank FROM events")
+def tuple_rank(t):
+    return ordered.rank_before(t.events, ["event_type"], ["event_id"]).select("event_id", "rank")
+
+
+@twin("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS position FROM part")
+def byte_order_sort(t):
+    return t.part.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).alias("position"))
+
+
+@twin("SELECT ch, dense_rank() OVER (ORDER BY ch) AS comp FROM (SELECT DISTINCT substr(p_name, 1, 1) AS ch FROM part)")
+def alphabet_ranks(t):
+    chars = t.part.select(F.substring("p_name", 1, 1).alias("ch")).distinct()
+    return chars.withColumn("comp", F.dense_rank().over(Window.orderBy("ch")))
+
+
+@twin("""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b, event_id) AS rn FROM (SELECT user_id, event_id, event_id // 20 * 10 AS b, event_id // 20 * 10 + 10 * (1 + CAST(floor(value) AS BIGINT) % 2) AS e FROM events)),
+f(user_id, rn, kept, last_end, chain) AS (SELECT user_id, rn, true, e, CAST(1 AS BIGINT) FROM s WHERE rn = 1
+  UNION ALL SELECT s.user_id, s.rn, s.b >= f.last_end, CASE WHEN s.b >= f.last_end THEN s.e ELSE f.last_end END, f.chain + CASE WHEN s.b > f.last_end THEN 1 ELSE 0 END FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1)
+SELECT user_id, chain, min(b) AS "begin", max(e) AS "end", count(*) AS n FROM f JOIN s USING (user_id, rn) WHERE kept GROUP BY user_id, chain""")
+def concat_adjacent(t):
+    b = F.floor(c("event_id") / 20) * 10
+    rows = t.events.select("user_id", "event_id", b.alias("begin"), (b + 10 * (1 + F.floor("value") % 2)).alias("end"))
+    folded = ordered.fold_adjacent(rows.withColumn("b", c("begin")), ["user_id"], ["b", "event_id"], "begin", "end", [])
+    return folded.groupBy("user_id", "chain").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+# --- typed fields -------------------------------------------------------------------------------------------------------
+
+
+@twin("SELECT event_id, CAST(string_split(x, '|')[1] AS BIGINT) AS a, string_split(x, '|')[2] AS b, CAST(string_split(x, '|')[3] AS DOUBLE) AS d FROM (SELECT event_id, user_id || '|' || event_type || '|' || CAST(floor(value) AS BIGINT) AS x FROM events)")
+def typed_fields(t):
+    x = F.split(F.concat_ws("|", "user_id", "event_type", F.floor("value")), r"\|")
+    return t.events.select("event_id", x[0].cast("bigint").alias("a"), x[1].alias("b"), x[2].cast("double").alias("d"))
+
+
+@twin("SELECT l_orderkey, l_returnflag, CASE WHEN l_returnflag IN ('T', 'Y') THEN true WHEN l_returnflag IN ('F', 'N') THEN false END AS flag FROM lineitem")
+def bool_field(t):
+    return t.lineitem.select("l_orderkey", "l_returnflag", text.parse_boolean(c("l_returnflag"), strict=False).alias("flag"))
+
+
+@twin("SELECT event_id, CASE WHEN event_type = 'click' THEN user_id END AS int_value, CASE WHEN event_type <> 'click' THEN event_type END AS text_value FROM events")
+def conditional_field(t):
+    tag = c("event_type") == "click"
+    return t.events.select("event_id", F.when(tag, c("user_id")).alias("int_value"), F.when(~tag, c("event_type")).alias("text_value"))
+
+
+@twin("SELECT p_partkey, CASE WHEN len(string_split(p_type, ' ')) >= 3 THEN string_split(p_type, ' ')[3] END AS third FROM part")
+def optional_field(t):
+    return t.part.select("p_partkey", F.get(F.split("p_type", " "), F.lit(2)).alias("third"))
+
+
+@twin("SELECT p_partkey, array_to_string(string_split(p_type, ' '), ',') AS parts, len(string_split(p_type, ' ')) AS n FROM part")
+def repeating_field(t):
+    parts = F.split("p_type", " ")
+    return t.part.select("p_partkey", F.array_join(parts, ",").alias("parts"), F.size(parts).cast("bigint").alias("n"))
+
+
+# --- bits and text ------------------------------------------------------------------------------------------------------
+
+
+def _bit(name: str, column, sql: str) -> None:
+    def f(t):
+        return t.orders.select("o_orderkey", column().alias("v"))
+
+    f.__name__ = name
+    twin(f"SELECT o_orderkey, {sql} AS v FROM orders")(f)
+
+
+_bit("popcount", lambda: bits.count_bits_set("o_orderkey").cast("int"), "CAST(bit_count(o_orderkey) AS INT)")
+_bit("trailing_zeros", lambda: bits.trailing_zeros("o_orderkey"), "CAST(instr(reverse(bin(o_orderkey)), '1') AS INT)")
+_bit("leading_zeros", lambda: bits.leading_zeros("o_orderkey"), "CAST(CASE WHEN o_orderkey = 0 THEN 64 ELSE 64 - length(bin(o_orderkey)) END AS INT)")
+_bit("highest_bit", lambda: bits.highest_bit_set("o_orderkey"), "CAST(CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS INT)")
+_bit("is_pow2", lambda: bits.is_power_of_2("o_orderkey"), "bit_count(o_orderkey) = 1")
+_bit("gte_pow2", lambda: bits.gte_power_of_2("o_orderkey"), "CASE WHEN o_orderkey <= 1 THEN CAST(1 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(length(bin(o_orderkey - 1)) AS INT) END")
+_bit("reverse_bits", lambda: bits.reverse_bits("o_orderkey"), "reverse(lpad(bin(o_orderkey), 64, '0'))")
+_bit("bit_pattern", lambda: bits.fill_bit_pattern("o_orderkey", 8), "repeat(lpad(bin(o_orderkey & 255), 8, '0'), 8)")
+
+
+@twin("SELECT doc_id, length(text) AS n FROM documents")
+def utf8_length(t):
+    return t.documents.select("doc_id", F.char_length("text").cast("bigint").alias("n"))
+
+
+@twin("SELECT p_partkey, TRY_CAST(substr(p_brand, length(p_brand), 1) AS BIGINT) AS digit, TRY_CAST(CASE WHEN p_name SIMILAR TO '[0-9]+' THEN p_name END AS BIGINT) AS whole FROM part")
+def parse_integer(t):
+    return t.part.select("p_partkey", text.parse_integer(F.substring("p_brand", -1, 1)).alias("digit"), text.parse_integer(c("p_name")).alias("whole"))
+
+
+@twin("SELECT event_id, (w >> 63) & 1 AS last, (w >> 56) & 127 AS type, w & ((CAST(1 AS BIGINT) << 56) - 1) AS data FROM (SELECT event_id, ((event_id % 4) << 56) | user_id AS w FROM events)")
+def alloc_log_decode(t):
+    w = F.call_function("shiftleft", c("event_id") % 4, F.lit(56)).bitwiseOR(c("user_id"))
+    return t.events.select("event_id", F.shiftrightunsigned(w, 63).alias("last"), F.shiftright(w, 56).bitwiseAND(127).alias("type"), w.bitwiseAND((1 << 56) - 1).alias("data"))
+
+
+@twin("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) + l_linenumber AS ref_length, CAST(l_quantity AS INT) + 2 AS query_length FROM lineitem")
+def cigar_expand(t):
+    cigar = F.concat(c("l_quantity").cast("int"), F.lit("M"), c("l_linenumber"), F.lit("D2I"))
+    ops = text.cigar_operations(cigar)
+    total = lambda kinds: F.aggregate(F.filter(ops, lambda o: o["op"].isin(*kinds)), F.lit(0), lambda a, o: a + o["len"])
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", total("MD").alias("ref_length"), total("MI").alias("query_length"))
+
+
+# --- arrays, matrices, chains -------------------------------------------------------------------------------------------
+
+_ARR = "SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a FROM lineitem GROUP BY l_orderkey"
+
+
+def _array(name: str, column, sql: str) -> None:
+    def f(t):
+        arrays = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"))
+        return arrays.select("l_orderkey", column().alias("v"))
+
+    f.__name__ = name
+    twin(f"SELECT l_orderkey, {sql} AS v FROM ({_ARR})")(f)
+
+
+_joined = lambda x: F.array_join(x.cast("array<string>"), ",")
+_array("arr_map", lambda: _joined(F.transform("a", lambda x: x * x)), "array_to_string(list_transform(a, lambda x: x * x), ',')")
+_array("arr_filter", lambda: _joined(F.filter("a", lambda x: x % 2 == 1)), "array_to_string(list_filter(a, lambda x: x % 2 = 1), ',')")
+_array("arr_find", lambda: (F.array_position("a", F.lit(3)) - 1).cast("int"), "CAST(coalesce(list_position(a, 3), 0) - 1 AS INT)")
+_array("arr_fold", lambda: F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s * 3 + x), "list_reduce(list_prepend(CAST(0 AS BIGINT), a), lambda s, x: s * 3 + x)")
+_array("arr_unique", lambda: _joined(F.array_distinct("a")), "array_to_string(list_sort(list_distinct(a)), ',')")
+_array("arr_slice", lambda: _joined(F.slice("a", 2, 3)), "array_to_string(a[2:4], ',')")
+_array("arr_zip", lambda: _joined(F.zip_with("a", F.reverse("a"), lambda x, y: x * 10 + y)), "array_to_string(list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] * 10 + z[2]), ',')")
+_array("arr_cat", lambda: _joined(F.concat("a", F.reverse("a"))), "array_to_string(list_concat(a, list_reverse(a)), ',')")
+_array("arr_head_last", lambda: F.element_at("a", 1) * 100 + F.element_at("a", -1), "a[1] * 100 + a[-1]")
+_array("arr_cross", lambda: _joined(F.flatten(F.transform("a", lambda x: F.transform(F.array(F.lit(1), F.lit(2)), lambda y: x * 10 + y)))), "array_to_string(flatten(list_transform(a, lambda x: list_transform([1, 2], lambda y: x * 10 + y))), ',')")
+_array("arr_default", lambda: F.coalesce(F.get("a", F.lit(4)), F.lit(-1)), "coalesce(a[5], -1)")
+_array("vector_push_reverse", lambda: _joined(F.reverse(F.array_append("a", F.lit(9)))), "array_to_string(list_reverse(list_append(a, 9)), ',')")
+
+
+@twin("SELECT r_regionkey AS row, n_nationkey AS col, CAST(length(n_name) AS INT) AS val FROM nation JOIN region ON n_regionkey = r_regionkey")
+def matrix_transpose(t):
+    cells = t.nation.select(c("n_nationkey").alias("row"), c("n_regionkey").alias("col"), F.length("n_name").alias("val"))
+    return cells.select(c("col").alias("row"), c("row").alias("col"), "val")
+
+
+@twin("SELECT c_nationkey AS col, count(*) AS val FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL")
+def matrix_row(t):
+    return t.customer.where("c_mktsegment = 'BUILDING'").groupBy(c("c_nationkey").alias("col")).agg(F.count("*").alias("val"))
+
+
+@twin("SELECT c_mktsegment AS row, count(*) AS val FROM customer WHERE c_nationkey = 3 GROUP BY ALL")
+def matrix_column(t):
+    return t.customer.where("c_nationkey = 3").groupBy(c("c_mktsegment").alias("row")).agg(F.count("*").alias("val"))
+
+
+@twin("""WITH n AS (SELECT event_type AS s, nxt, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL)
+SELECT s, nxt, CAST(sum(n) OVER (PARTITION BY s ORDER BY nxt) AS BIGINT) AS cumulative, CAST(sum(n) OVER (PARTITION BY s) AS BIGINT) AS total FROM n""")
+def markov_transitions(t):
+    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    n = t.events.select(c("event_type").alias("s"), nxt.alias("nxt")).where("nxt IS NOT NULL").groupBy("s", "nxt").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("s")
+    return n.select("s", "nxt", F.sum("n").over(w.orderBy("nxt")).alias("cumulative"), F.sum("n").over(w).alias("total"))
+
+
+@twin("SELECT event_id, CASE WHEN event_type = 'click' AND value >= 10 THEN event_type || ':' || user_id ELSE 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) END AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click'")
+def cat_end_to_end(t):
+    kept = t.events.where("event_type = 'click'")
+    missing = c("value") < 10
+    n = F.row_number().over(Window.partitionBy(missing).orderBy("event_id"))
+    name = F.when(~missing, F.concat_ws(":", "event_type", "user_id")).otherwise(F.concat(F.lit("id"), n))
+    return kept.select("event_id", name.alias("id"), F.get_json_object("props", "$.k").alias("k"))
