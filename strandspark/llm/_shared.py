@@ -45,10 +45,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:
-    """Atomic where the file system's rename is; false if the target is there."""
+    """Atomic where the file system's rename is; false if the target is there or the source is not."""
     p, fs = _hadoop(spark, old)
     q, _ = _hadoop(spark, new)
-    return False if fs.exists(q) else bool(fs.rename(p, q))
+    return False if fs.exists(q) or not fs.exists(p) else bool(fs.rename(p, q))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ source's exact budget, inside the document that straddles it.
 
 Defined cases: null text counts 0 words; null source is a source of its own and comes last; equal keys (repeated rows)
 are ordered by id and size, and equal rows are interchangeable; an empty table gives an empty result; if no document has
-a word, all targets are 0. Other columns are ignored by :func:`plan_mix` and kept by :func:`mix_documents`.
+a word, all targets are 0. Documents without words are in whole epochs only. Other columns are ignored by :func:`plan_mix` and kept by :func:`mix_documents`.
 """
 
 from __future__ import annotations
