@@ -9,7 +9,7 @@ greatest likelihood, the children's weighed by their text; so no choice contradi
 descendant's.
 
 The trees are trained here, on ``TRAIN_PAGES`` pages written by :func:`training_page` with known main text, since the
-tables have no labelled pages; training is seeded and bounded, and happens once in each Python process.
+tables have no labelled pages; training is seeded and bounded, and happens once, on the driver.
 
 Defined cases: null or empty pages give an empty text and 0 characters; a page cut off anywhere is read as far as it
 goes, an unfinished tag at its end is dropped; repeated rows give equal results; a null id or url is returned as it is.
@@ -443,7 +443,7 @@ def decode(parent: list[int], chars: np.ndarray, odds: np.ndarray) -> np.ndarray
     return state
 
 
-def extract_all(sources) -> list[str]:
+def extract_all(sources, trees: Boosted | None = None) -> list[str]:
     """Main texts of pages; the trees run over the nodes of all of them at once."""
     pages, strings, xs, sizes = [], [], [], []
     for s in sources:
@@ -456,7 +456,7 @@ def extract_all(sources) -> list[str]:
         sizes.append(chars)
     if not pages:
         return []
-    odds = np.split(model().predict(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
+    odds = np.split((trees or model()).predict(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
     out = []
     for page, t, chars, o in zip(pages, strings, sizes, odds):
         kept = decode(page.parent, chars, o)
@@ -465,13 +465,14 @@ def extract_all(sources) -> list[str]:
 
 
 def extract(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars."""
+    """One row per page: page_id, url, text, n_chars. The trees are trained once, on the driver, and go with the tasks."""
+    trees = model()
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                text = extract_all(part[html_col])
+                text = extract_all(part[html_col], trees)
                 yield pd.DataFrame({"page_id": part[id_col], "url": part[url_col], "text": text, "n_chars": [len(t) for t in text]})
 
     return pages.select(id_col, url_col, html_col).mapInPandas(texts, "page_id bigint, url string, text string, n_chars bigint")

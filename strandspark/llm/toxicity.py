@@ -31,6 +31,8 @@ from strandspark.llm._shared import materialize
 MAX_TRAIN = 20_000
 MAX_FEATURES = 6_000
 FOLDS = 5
+#: No document with lower log-odds than this is rejected, whatever the folds say.
+LEAST_ODDS = -3.0
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
@@ -64,7 +66,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 400) -> np.ndarray:
+def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Logistic regression by Adam over all rows; the result is feature weights, weights of ``extra`` and a bias."""
     k = extra.shape[1]
     w = np.zeros(x.width + k + 1)
@@ -114,7 +116,7 @@ class Chain:
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
         if len(y) and y.any() and not y.all():
             at = int(np.argmax(f1))
-            threshold = float(out[order[at]] + out[order[min(at + 1, len(y) - 1)]]) / 2
+            threshold = max(LEAST_ODDS, float(out[order[at]] + out[order[min(at + 1, len(y) - 1)]]) / 2)
         else:
             threshold = float("inf")
         return cls(vocabulary, weights, threshold)
