@@ -149,6 +149,11 @@ def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None =
     lines = spark.read.text(path)
     if lineno:
         lines = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("value string, lineno bigint")
+    return records(lines, header, mode, lineno)
+
+
+def records(lines: DataFrame, header: Header, mode: str = "PERMISSIVE", lineno: bool = False) -> DataFrame:
+    """Lines (column value, and lineno if asked for) as records; works on streams too."""
     rows = lines.where("value <> '' AND NOT startswith(value, '#')").withColumn("c", F.split("value", "\t"))
     col = lambda i: F.get("c", F.lit(i))
     listed = lambda v, sep: F.when(v != ".", F.split(v, sep))
