@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words of one generation of the cache; there are two, and words in use pass from the old one to the new.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
 #: Words that one call of the library gets at a time, joined by spaces.
 TOGETHER = 64
