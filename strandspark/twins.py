@@ -179,10 +179,10 @@ def region_semijoin(t):
     return ordered.in_regions(rows, ordered.merge_intervals(_regions(t), ["chrom"], "begin", "end"), "chrom", c("event_id") % 20000)
 
 
-@twin("SELECT 'type' AS kind, p_type AS id, 2 AS files FROM (SELECT p_type, count(DISTINCT p_size) AS n FROM (SELECT p_type, min(p_size) AS p_size, 0 AS f FROM part WHERE p_partkey % 2 = 0 GROUP BY p_type UNION ALL SELECT p_type, min(p_size), 1 FROM part WHERE p_partkey % 2 = 1 GROUP BY p_type) GROUP BY p_type HAVING count(*) = 2 AND n = 2)")
+@twin("SELECT 'type' AS kind, p_type AS id, 2 AS files FROM (SELECT p_type, count(DISTINCT p_size) AS n FROM (SELECT p_type, count(*) AS p_size, 0 AS f FROM part WHERE p_partkey % 2 = 0 GROUP BY p_type UNION ALL SELECT p_type, count(*), 1 FROM part WHERE p_partkey % 2 = 1 GROUP BY p_type) GROUP BY p_type HAVING count(*) = 2 AND n = 2)")
 def metadata_mismatch(t):
     file = c("p_partkey") % 2
-    meta = t.part.groupBy(c("p_type").alias("id"), file.alias("file")).agg(F.min("p_size").alias("number")).withColumn("kind", F.lit("type")).withColumn("type", F.lit("Integer"))
+    meta = t.part.groupBy(c("p_type").alias("id"), file.alias("file")).agg(F.count("*").alias("number")).withColumn("kind", F.lit("type")).withColumn("type", F.lit("Integer"))
     return sets.mismatched_metadata(meta).select("kind", "id", c("files").cast("int").alias("files"))
 
 
