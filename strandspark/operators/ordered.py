@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandspark.operators import positions
 
-def distances(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "distance") -> DataFrame:
-    """Difference to the row before in the group; the first row of a group is left out."""
+
+def distances(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "distance", large_groups: bool = False) -> DataFrame:
+    """Difference to the row before in the group; the first row of a group is left out. ``large_groups`` is for groups that
+    one task cannot sort, such as a chromosome; it writes the rows once."""
+    if large_groups:
+        near = positions.with_previous(df, by, order, value, "_previous")
+        return near.withColumn(name, F.col(value) - F.col("_previous")).drop("_previous").where(F.col(name).isNotNull())
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.col(value) - F.lag(value).over(w)).where(F.col(name).isNotNull())
 
@@ -71,7 +77,7 @@ def merge_projected(left: DataFrame, right: DataFrame, key: str, stop_at: int |
 
 def stable_sort(df: DataFrame, key: Column, input_order: list[str], name: str = "position") -> DataFrame:
     """Positions of a stable sort."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(key, *input_order)))
+    return positions.numbered(df, [key, *input_order], name)
 
 
 def stable_partition(df: DataFrame, predicate: Column, input_order: list[str], name: str = "position") -> DataFrame:
@@ -85,15 +91,20 @@ def remove_at(df: DataFrame, index: str, removed: DataFrame) -> DataFrame:
 
 def rank_before(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Occurrences of the group's kind before each row."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return positions.numbered(df, order, name, by).withColumn(name, F.col(name) - 1)
 
 
 def fold_adjacent(df: DataFrame, by: list[str], order: list[str], begin: str, end: str, parts: list[str]) -> DataFrame:
     """Chains of rows in which each begins where the last kept one ended; rows that overlap the last kept one are skipped.
-    Whether a row is kept depends on the kept one before, so each group is folded in order (Arrow-sized groups by key)."""
+    Whether a row is kept depends on the kept one before, so rows are folded in order. A row that begins beyond all ends before
+    it depends on none of them: groups are cut there, and only rows that touch or overlap are listed together."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = df.withColumn("_new", F.when(F.col(begin) <= reach, 0).otherwise(1))
+    cut = cut.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     item = F.struct(*order, F.col(begin).alias("_b"), F.col(end).alias("_e"), *parts)
     schema = df.select(item.alias("x")).schema["x"].dataType.simpleString()
-    listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    listed = cut.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     start = F.struct(F.lit(None).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("chain"), F.expr(f"cast(array() as array<struct<chain:bigint,x:{schema}>>)").alias("kept"))
 
     def step(acc, x):
@@ -102,5 +113,8 @@ def fold_adjacent(df: DataFrame, by: list[str], order: list[str], begin: str, en
         kept = F.array_append(acc["kept"], F.struct(chain.alias("chain"), x.alias("x")))
         return F.when(skip, acc).otherwise(F.struct(x["_e"].cast("bigint").alias("end"), chain.alias("chain"), kept.alias("kept")))
 
-    kept = listed.select(*by, F.explode(F.aggregate("_rows", start, step, lambda a: a["kept"])).alias("k"))
-    return kept.select(*by, "k.chain", *[F.col(f"k.x.{c}").alias(c) for c in order], F.col("k.x._b").alias(begin), F.col("k.x._e").alias(end), *[F.col(f"k.x.{c}").alias(c) for c in parts if c not in order])
+    folded = listed.select(*by, "_island", F.aggregate("_rows", start, step, lambda a: a["kept"]).alias("_kept"))
+    islands = Window.partitionBy(*by).orderBy("_island").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.element_at("_kept", -1)["chain"]).over(islands), F.lit(0))
+    kept = folded.withColumn("_before", before).select(*by, "_before", F.explode("_kept").alias("k"))
+    return kept.select(*by, (F.col("_before") + F.col("k.chain")).alias("chain"), *[F.col(f"k.x.{c}").alias(c) for c in order], F.col("k.x._b").alias(begin), F.col("k.x._e").alias(end), *[F.col(f"k.x.{c}").alias(c) for c in parts if c not in order])

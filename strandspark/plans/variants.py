@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.operators import ordered
+from strandspark.operators import ordered, positions
 
 _EMPTY = "cast(array() as array<string>)"
 
@@ -60,9 +60,9 @@ def drop_with_info(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def fill_missing_ids(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
     """Missing IDs become prefix and a running number in the given order."""
-    missing = F.col("ids").isNull()
-    n = F.row_number().over(Window.partitionBy(missing).orderBy(*order))
-    return df.withColumn("ids", F.when(missing, F.array(F.concat(F.lit(prefix), n.cast("string")))).otherwise(F.col("ids")))
+    numbered = positions.numbered(df.withColumn("_missing", F.col("ids").isNull()), order, "_n", ["_missing"])
+    made = F.array(F.concat(F.lit(prefix), F.col("_n").cast("string")))
+    return numbered.withColumn("ids", F.when(F.col("_missing"), made).otherwise(F.col("ids"))).drop("_missing", "_n")
 
 
 def in_bed(df: DataFrame, regions: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def cat(df: DataFrame, *, chrom: str | None = None, regions: DataFrame | None =
 
 def distances(df: DataFrame, chrom: str) -> DataFrame:
     """Distance of each record of the chromosome to the one before."""
-    return ordered.distances(df.where(F.col("chrom") == chrom), ["chrom"], ["pos"], "pos").select("pos", "distance")
+    return ordered.distances(df.where(F.col("chrom") == chrom).select("chrom", "pos"), ["chrom"], ["pos"], "pos", large_groups=True).select("pos", "distance")
 
 
 def counts_per_copy(df: DataFrame, chrom: str) -> DataFrame:
@@ -123,7 +123,7 @@ PALETTE = ["#808080", "#ffffff", "#1f3a93", "#c0392b", "#27ae60", "#f39c12", "#8
 
 def genotype_cells(df: DataFrame, order: list[str]) -> DataFrame:
     """(record, row, allele, rgb): a column per record and a row per chromosome copy of each sample."""
-    numbered = df.withColumn("record", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = positions.numbered(df, order, "record").withColumn("record", F.col("record") - 1)
     s = numbered.select("record", F.posexplode("samples").alias("si", "s")).select("record", "si", F.posexplode("s.gt").alias("copy", "g"))
     colours = F.array(*[F.lit(x) for x in PALETTE])
     rgb = F.element_at(colours, F.least(F.coalesce(F.col("g.alt") + 2, F.lit(1)), F.lit(len(PALETTE))).cast("int"))

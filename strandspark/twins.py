@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandspark.functions import bits, text
 from strandspark.operators import accumulators as acc
-from strandspark.operators import ordered, pbwt, sets
+from strandspark.operators import chains, ordered, pbwt, positions, sets
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -115,9 +115,8 @@ def info_omit(t):
 
 @twin("SELECT event_id, CASE WHEN value < 10 THEN 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) ELSE event_type END AS id FROM events")
 def fill_missing_id(t):
-    missing = c("value") < 10
-    n = F.row_number().over(Window.partitionBy(missing).orderBy("event_id"))
-    return t.events.select("event_id", F.when(missing, F.concat(F.lit("id"), n)).otherwise(c("event_type")).alias("id"))
+    numbered = positions.numbered(t.events.select("event_id", "event_type", (c("value") < 10).alias("missing")), ["event_id"], "n", ["missing"])
+    return numbered.select("event_id", F.when(c("missing"), F.concat(F.lit("id"), "n")).otherwise(c("event_type")).alias("id"))
 
 
 @twin("SELECT event_id FROM events WHERE NOT coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50, false)")
@@ -204,7 +203,7 @@ _SIDES = "SELECT CAST(floor(value) AS BIGINT) AS key, event_id AS idx, CASE WHEN
 @twin(f"SELECT key, idx, side, row_number() OVER (ORDER BY key, side DESC, idx) AS position FROM ({_SIDES})")
 def merge_projected_ties_right(t):
     left, right = _two_sides(t)
-    return ordered.merge_projected(left, right, "key").withColumn("position", F.row_number().over(Window.orderBy("key", F.desc("side"), "idx")))
+    return positions.numbered(ordered.merge_projected(left, right, "key"), ["key", F.desc("side"), "idx"], "position")
 
 
 @twin(f"SELECT key, idx, side FROM (SELECT *, max(CASE WHEN key >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY side ORDER BY idx) AS stop FROM ({_SIDES})) WHERE stop = 0")
@@ -605,10 +604,27 @@ def markov_transitions(t):
     return n.select("s", "nxt", F.sum("n").over(w.orderBy("nxt")).alias("cumulative"), F.sum("n").over(w).alias("total"))
 
 
+_WALK_WEIGHT = "1 + length(a.event_type) * length(b.event_type) % 5"
+
+
+@twin(f"""WITH RECURSIVE types AS (SELECT DISTINCT event_type FROM events),
+cum AS (SELECT a.event_type AS src, b.event_type AS dst, sum({_WALK_WEIGHT}) OVER (PARTITION BY a.event_type ORDER BY b.event_type) AS upto, row_number() OVER (PARTITION BY a.event_type ORDER BY b.event_type DESC) AS back FROM types a, types b),
+steps AS (SELECT user_id, event_id % 9 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events QUALIFY step <= 4),
+walk(user_id, step, state) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'click' FROM events
+  UNION ALL SELECT w.user_id, s.step, (SELECT coalesce(min(dst) FILTER (upto > s.p), min(dst) FILTER (back = 1)) FROM cum WHERE src = w.state) FROM walk w JOIN steps s ON s.user_id = w.user_id AND s.step = w.step + 1)
+SELECT user_id AS walk, string_agg(state, ',' ORDER BY step) AS states FROM walk GROUP BY user_id""")
+def markov_walk(t):
+    types = t.events.agg(F.collect_set("event_type").alias("all"))  # an enumeration of few values
+    pairs = types.select("all", F.explode("all").alias("src")).select("src", F.explode("all").alias("dst"))
+    weights = pairs.withColumn("p", 1 + F.length("src") * F.length("dst") % 5)
+    first = ordered.rank_before(t.events, ["user_id"], ["event_id"], "step").where("step < 4")
+    steps = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", (c("event_id") % 9).alias("p")))).alias("s"))
+    walks = steps.select(c("user_id").alias("walk"), c("s.p").alias("probabilities"))
+    return chains.walk(weights, walks, "click").select("walk", F.array_join("states", ",").alias("states"))
+
+
 @twin("SELECT event_id, CASE WHEN event_type = 'click' AND value >= 10 THEN event_type || ':' || user_id ELSE 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) END AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click'")
 def cat_end_to_end(t):
-    kept = t.events.where("event_type = 'click'")
-    missing = c("value") < 10
-    n = F.row_number().over(Window.partitionBy(missing).orderBy("event_id"))
-    name = F.when(~missing, F.concat_ws(":", "event_type", "user_id")).otherwise(F.concat(F.lit("id"), n))
-    return kept.select("event_id", name.alias("id"), F.get_json_object("props", "$.k").alias("k"))
+    kept = t.events.where("event_type = 'click'").select("event_id", "event_type", "user_id", "props", (c("value") < 10).alias("missing"))
+    name = F.when(~c("missing"), F.concat_ws(":", "event_type", "user_id")).otherwise(F.concat(F.lit("id"), "n"))
+    return positions.numbered(kept, ["event_id"], "n", ["missing"]).select("event_id", name.alias("id"), F.get_json_object("props", "$.k").alias("k"))

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strandspark.operators import accumulators, chains, ordered, pbwt, sets
+from strandspark.operators import accumulators, chains, ordered, pbwt, positions, sets
 from strandspark.sources import vcf
 from strandspark.streaming import vcf as stream
 
@@ -62,3 +62,28 @@ def test_stream(spark, tmp_path):
     q = stream.running_counts(stream.read_stream(spark, str(tmp_path), vcf.parse_header(head.splitlines()))).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.sql("SELECT * FROM counts").collect()] == [("c1", 6, 3)]
+
+
+def test_positions_spread_over_ranges(spark):
+    """Numbers and neighbours match a sort in Python when one group has most rows, with ties in the key and a null group."""
+    rows = [(("a", "b", None)[0 if i % 5 else i % 3], i * 7919 % 1000 // 10, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k int, i int")
+    number = {r["i"]: r["n"] for r in positions.numbered(df, [F.desc("k"), "i"], "n").collect()}
+    assert number == {i: n for n, (_, i) in enumerate(sorted((-k, i) for _, k, i in rows), 1)}
+    grouped = {r["i"]: r["n"] for r in positions.numbered(df, ["k", "i"], "n", ["g"]).collect()}
+    before = {r["i"]: r["p"] for r in positions.with_previous(df, ["g"], ["k", "i"], "k", "p").collect()}
+    assert len(grouped) == len(before) == len(rows)
+    for g in ("a", "b", None):
+        order = sorted((k, i) for h, k, i in rows if h == g)
+        for n, (_, i) in enumerate(order):
+            assert grouped[i] == n + 1 and before[i] == (order[n - 1][0] if n else None)
+    assert positions.numbered(df.limit(0), ["i"], "n").count() == 0
+
+
+def test_fold_adjacent_cuts_groups(spark):
+    rows = [("c", 0, 5), ("c", 3, 9), ("c", 5, 7), ("c", 9, 12), ("c", 20, 21), ("c", 21, 30), ("c", 22, 23), ("d", 1, 2)]
+    df = spark.createDataFrame(rows, "g string, b int, e int").withColumn("o", F.col("b"))
+    got = ordered.fold_adjacent(df, ["g"], ["o"], "b", "e", [])
+    assert sorted((r["g"], r["chain"], r["b"], r["e"]) for r in got.collect()) == [
+        ("c", 1, 0, 5), ("c", 1, 5, 7), ("c", 2, 9, 12), ("c", 3, 20, 21), ("c", 3, 21, 30), ("d", 1, 1, 2),
+    ]
