@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ MAX_FEATURES = 6_000
 FOLDS = 5
 #: No document with lower log-odds than this is rejected, whatever the folds say.
 LEAST_ODDS = -3.0
+#: Texts whose tokens are Python objects at a time; an Arrow batch may have many times as many.
+TOGETHER = 200
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
@@ -161,25 +164,33 @@ def _vocabulary(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
     return {r["token"]: i for i, r in enumerate(best.select("token").collect())}
 
 
+def _converted(batches: Iterator[pa.RecordBatch], column: str, name: str, kind: pa.DataType, f) -> Iterator[pa.RecordBatch]:
+    """The batches, ``TOGETHER`` rows at a time, with ``f`` of the last column in its place."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            new = pa.array([f(v) for v in part.column(column).to_pylist()], kind)
+            kept = [n for n in part.schema.names if n != column]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), new], names=[*kept, name])
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", max_train: int = MAX_TRAIN) -> Chain:
     sample = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "toxic", F.coalesce("quality", F.lit(1)).alias("quality"))
     sample = sample.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "quality": b["quality"], "tokens": [sorted(tokens(t)) for t in b["text"]]})
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _converted(batches, "text", "tokens", pa.list_(pa.string()), lambda t: sorted(tokens(t)))
 
-    train = materialize(rows.mapInPandas(tokenised, "id bigint, toxic int, quality int, tokens array<string>"), "toxicity-train")
+    train = materialize(rows.select("id", "toxic", "quality", "text").mapInArrow(tokenised, "id bigint, toxic int, quality int, tokens array<string>"), "toxicity-train")
     by = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic = by.get(1, 0)
     vocabulary = _vocabulary(train, n_toxic, sum(by.values()) - n_toxic)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "quality": b["quality"], "x": [sorted(vocabulary[t] for t in ts if t in vocabulary) for ts in b["tokens"]]})
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _converted(batches, "tokens", "x", pa.list_(pa.int32()), lambda ts: sorted(vocabulary[t] for t in ts if t in vocabulary))
 
-    got = train.mapInPandas(encoded, "id bigint, toxic int, quality int, x array<int>").orderBy("id").collect()
+    got = train.mapInArrow(encoded, "id bigint, toxic int, quality int, x array<int>").orderBy("id").collect()
     toxic, good = np.array([r["toxic"] == 1 for r in got], bool), np.array([r["quality"] != 0 for r in got], bool)
     fold = np.array([(r["id"] * 2654435761 >> 7) % FOLDS for r in got], np.int64)
     return Chain.fit(vocabulary, [np.array(r["x"], np.int64) for r in got], np.column_stack([toxic & good, toxic & ~good, toxic]).reshape(-1, 3), fold)
@@ -191,7 +202,8 @@ def scores(chain: Chain, text: Column) -> Column:
 
     @F.pandas_udf(f"{fields}, rejected boolean")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        p, rejected = chain.predict(texts)
+        parts = [chain.predict(texts[i : i + TOGETHER]) for i in range(0, max(1, len(texts)), TOGETHER)]
+        p, rejected = (np.concatenate(x) for x in zip(*parts))
         return pd.DataFrame({**{f"p_{c}": p[:, i] for i, c in enumerate(CATEGORIES)}, "rejected": rejected})
 
     return scored(text)
