@@ -9,9 +9,11 @@ levels; by then at most 15 bits are free, so no shard can hold more than 32,768.
 queries are rather than broadcast, since no bound on all trees together is proven. A task builds and searches the trees of its
 shards together, level by level, and returns a star of links for each connected part of a shard instead of all pairs.
 
+The graph's nodes are fingerprints; ids only label them, so rows that share an id, or have none, are not one node.
+
 Defined cases: null or empty text has fingerprint zero and is linked like any other; fewer than three words are one
-shingle; repeated rows have equal fingerprints; rows with null ids get the component of their fingerprint; a fingerprint
-that only rows with null ids have links to others by no id; an empty table gives an empty result.
+shingle; repeated rows have equal fingerprints; rows with null ids get the component of their fingerprint, and link others
+as any row does; a component that only rows with null ids have is labelled null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm._graph import components
-from strandspark.llm._shared import materialize, partitions
+from strandspark.llm._shared import P, materialize, partitions
 
 RADIUS = 3
 SHARD = 1024
@@ -55,15 +57,21 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def text_digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
+def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed long; with ``digest`` also that of the text."""
+    more = [text_digest(text_col).alias("digest")] if digest else []
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield b.drop(columns="text").assign(fp=fp)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(made, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInPandas(made, "doc_id bigint, fp bigint" + (", digest string" if digest else ""))
 
 
 # --- trees ----------------------------------------------------------------------------------------------------------
@@ -194,13 +202,16 @@ def near_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     raise AssertionError
 
 
-def near_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) per row."""
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
+def near_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) per row; with ``digest`` also that of the text."""
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, digest), "simhash-rows")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    part = components(near_links(distinct.where("id IS NOT NULL")))
-    placed = distinct.join(part, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(materialize(placed, "simhash-placed"), "fp").select("doc_id", "fp", "component_id")
+    part = components(near_links(distinct.select("fp", F.col("fp").alias("id"))))
+    named = distinct.join(part, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    named = materialize(named, "simhash-named")
+    least = named.groupBy("part").agg(F.min("id").alias("component_id"))
+    placed = materialize(named.join(least, "part").select("fp", "component_id"), "simhash-placed")
+    return rows.join(placed, "fp").select("doc_id", "fp", "component_id", *(["digest"] if digest else []))
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
@@ -209,7 +220,11 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group, those with the smallest id (rows with a null id stay only if no
-    row of their group has one). Rows repeated with that id all stay; exact deduplication is another operator's."""
-    found = materialize(near_groups(docs, id_col=id_col, text_col=text_col), "simhash-found")
-    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__ss_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__ss_gone"]), "left_anti")
+    row of their group has one). Rows repeated with that id all stay; exact deduplication is another operator's.
+
+    Rows that go are known by id and text's digest, which settles the fingerprint and spares computing it again."""
+    found = materialize(near_groups(docs, id_col=id_col, text_col=text_col, digest=True), "simhash-found")
+    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(f"{P}d"), F.col("digest").alias(f"{P}g")).distinct()
+    keyed = docs.withColumn(f"{P}h", text_digest(text_col))
+    match = keyed[id_col].eqNullSafe(gone[f"{P}d"]) & (keyed[f"{P}h"] == gone[f"{P}g"])
+    return keyed.join(gone, match, "left_anti").select(*docs.columns)

@@ -267,6 +267,31 @@ def test_simhash(docs, twice, none):
     assert simhash.fingerprint_rows(none).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, stay or go each by its own group; against all pairs of fingerprints."""
+    from brute import fingerprint, union
+
+    r = random.Random(12)
+    text = lambda n=40: " ".join("n%d" % r.randrange(3000) for _ in range(n))
+    long = [text(400) for _ in range(3)]
+    near_ = [" ".join(x.split()[:-1]) for x in long]
+    a, b, c, lone = text(), text(), text(), text()
+    table = [(7, a), (None, a.upper()), (None, b), (3, c), (5, lone), (5, c.upper()), (None, lone), (9, None), (None, ""), (None, None), (None, c), (None, b.upper())]
+    table += [(20, long[0]), (None, near_[0]), (None, long[1]), (None, near_[1]), (31, long[2]), (30, near_[2]), (30, text()), (5, text()), (5, a), (2, text()), (2, text())]
+    table += [(r.choice([None, 40, 41, 42]), text()) for _ in range(30)]
+    fps = np.array([fingerprint(t) for _, t in table], np.uint64)
+    part = union(len(table), [(i, j) for i in range(len(fps)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]) <= 3])
+    assert any(part[i] == part[j] and fps[i] != fps[j] for i in range(len(fps)) for j in range(i) if table[i][0] is None)
+    ids = {p: [d for (d, _), q in zip(table, part) if q == p and d is not None] for p in part}
+    least = [min(ids[p], default=None) for p in part]
+    d = spark.createDataFrame(table, "doc_id bigint, text string").withColumns({x: F.lit(1) for x in CLASH})
+    got = simhash.fingerprint_rows(d).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((x, f"{int(f):016x}", m)) for (x, _), f, m in zip(table, fps, least))
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in kept.collect()))) == sorted(str(row) for row, m in zip(table, least) if row[0] == m)
+
+
 def test_simhash_hot_shards(spark):
     """Many fingerprints around few centres, so that shards are split again and again; none of the links is lost."""
     r = random.Random(6)
