@@ -60,7 +60,9 @@ for _i, _words in enumerate(NAMES):
     for _w in _words.split():
         NAME.setdefault(_w, []).append(_i)
 
-SCAN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+#: White space, slashes and attributes of a tag. A quote opens a string only as the first character of a value, and only if it is closed.
+_ATTRS = r"""(?>[ \t\n\f\r/]+|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*"|'[^']*'|[^ \t\n\f\r>]*+))?)*+"""
+SCAN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)(""" + _ATTRS + r""")(>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 

@@ -85,6 +85,15 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0 and html.extract(df.union(df)).count() == 2 * len(PAGES)
 
 
+def test_html_stray_quotes():
+    """A quote opens a string only where a value starts; elsewhere the tag ends at the first >."""
+    text = lambda s: " ".join(html.Page(s).strings()).split()
+    for tag in ('<p class="x"">', '<p class=foo">', "<p title=it's>", '<p "x>', '<p a=b="c>', "<p class='x''>", '<p class="x"y="z">', '<p a = ">" b=\'>"\'>', '<p title="a>b"/>', '<p a=>', '<p a="x>'):
+        tail = "" if tag.endswith('="x>') else '<p id="last">three</p>'
+        assert text(f"<div>one</div>{tag}two</p>{tail}") == ["one", "two"] + (["three"] if tail else []), tag
+    assert text('<div>one</div><p title="cut off') == ["one"]
+
+
 def test_html_held_out():
     """Accuracy on pages that the trees have not seen, and decoding without contradictions."""
     r, right, wrong = random.Random(77), 0, 0
