@@ -1,42 +1,36 @@
-"""Tokenisation with the tokenizers library, with a bounded cache of words.
+"""Tokenisation with the tokenizers library, each distinct word once.
 
-The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are the ids of its words in
-order. Each distinct word is encoded once by the library and kept in a cache of bounded size; ids are held as
+The vocabulary's normaliser and pre-tokenizer never join characters across a space, tab or line break, so a text's ids are
+the ids of the words between them, in order. A slice of texts is split and dictionary-encoded by Arrow; only distinct words
+become Python strings. Each goes through a bounded cache to the library, and the texts' ids are gathered by NumPy. Ids are
 little-endian unsigned integers, two bytes wide where the vocabulary allows.
+
+For fewer distinct words, A to Z are lower-cased and a full stop or comma at a word's end is set apart, where that can't
+change an id: not in a text with a control token's opening, not where a capital takes a combining mark (its lower-case
+form may compose with the mark), and only behind a plain letter or digit (other marks join the full stop in one token).
 """
 
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words of one generation of the cache; there are two, and words in use pass from the old one to the new.
-CACHE_WORDS = 500_000
+#: Words in the cache; it starts anew when it is full.
+CACHE_WORDS = 1_000_000
 LONGEST_CACHED = 64
 #: Words that one call of the library gets at a time, joined by spaces.
 TOGETHER = 64
-#: A full stop or comma at a word's end that another mark stands before: the pre-tokenizer takes them together.
-RUN = re.compile(r"[.,](?=\s|\Z)(?<=[^\w\s].|_.)")
-
-
-class _Words(dict):
-    """Ids of words; a word of the old generation is taken over, any other is noted and answered with None."""
-
-    def __init__(self, old: dict[str, bytes]):
-        super().__init__()
-        self.old, self.missing = old, []
-
-    def __missing__(self, w: str) -> bytes | None:
-        ids = self.old.get(w)
-        if ids is None:
-            self.missing.append(w)
-        else:
-            self[w] = ids
-        return ids
+#: Bytes of text that are split into words at a time; a longer text is alone in its slice.
+SLICE_BYTES = 4 << 20
+#: Texts that have to reach the library as they are.
+AS_IS = r"<\||[A-Z]\p{M}"
+#: A full stop or comma at a word's end. The letters before it lower-case to one letter each.
+STOP = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}\x{400}-\x{45f}])([.,])([ \n\t])"
 
 
 class Encoder:
@@ -50,74 +44,114 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache = _Words({})
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words by the library. A word of letters only is one pre-token, whose last id is marked as a word's
-        end, so many of them can share a call; that the marks are as many as the words is checked."""
-        letters = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        out = dict(zip(other, self._ids(other)))
-        parts = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
-        for part, ids in zip(parts, self._ids([" ".join(p) for p in parts])):
-            at = (np.flatnonzero(self.ends[np.frombuffer(ids, self.dtype)]) + 1) * self.width
-            if len(at) == len(part) and at[-1] == len(ids):
+        self._clear()
+
+    # --- words ---
+
+    def _clear(self) -> None:
+        """An empty cache: word -> number, and for each number its ids in ``flat`` from ``start``, ``length`` of them."""
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words by the library, and the words' lengths. A word of letters only is one pre-token, whose
+        last id is marked as a word's end, so many of them share a call; that the marks are as many as the words is checked."""
+        together = [i for i, w in enumerate(words) if w.isalpha()]
+        parts = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        ids: list = [None] * len(words)
+        alone = [i for i, w in enumerate(words) if not w.isalpha()]
+        for part, got in zip(parts, self._library([" ".join([words[i] for i in p]) for p in parts])):
+            at = np.flatnonzero(self.ends[got]) + 1
+            if len(at) == len(part) and at[-1] == len(got):
                 start = 0
-                for w, end in zip(part, at.tolist()):
-                    out[w] = ids[start:end]
+                for i, end in zip(part, at.tolist()):
+                    ids[i] = got[start:end]
                     start = end
             else:
-                out.update(zip(part, self._ids(part)))
-        return out
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """Pieces whose ids, in order, are the text's. Where lower-casing first and setting a last full stop or comma
-        apart change nothing, they are done, for fewer distinct pieces; else pieces are what stands between spaces."""
-        if "<|" not in text and "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and not RUN.search(text):
-            low = text.lower()
-            if len(low) == len(text) and unicodedata.is_normalized("NFC", low):
-                return (low.replace("\n", " ").replace("\t", " ") + " ").replace(", ", " , ").replace(". ", " . ").split(" ")
-        return text.replace("\n", " ").replace("\t", " ").split(" ")
+                alone += part
+        for i, got in zip(alone, self._library([words[i] for i in alone])):
+            ids[i] = got
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for got in ids for x in got), self.dtype, int(lengths.sum())), lengths
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words; what is not there yet is learned. Long words come last and are overwritten by the
+        next call, so that the cache is bounded in bytes too."""
+        if len(self.known) + len(words) > CACHE_WORDS and self.known:
+            self._clear()
+        numbers = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(numbers) if x is None]
+        if new:
+            new.sort(key=lambda i: len(words[i]) > LONGEST_CACHED)
+            kept = sum(len(words[i]) <= LONGEST_CACHED for i in new)
+            flat, lengths = self._learn([words[i] for i in new])
+            base, count = len(self.known), len(new)
+            while len(self.flat) < self.used + len(flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while len(self.start) < base + count:
+                self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.start[base : base + count] = self.used + np.cumsum(lengths) - lengths
+            self.length[base : base + count] = lengths
+            self.used += int(lengths[:kept].sum())
+            for j, i in enumerate(new):
+                numbers[i] = base + j
+            self.known.update((words[i], base + j) for j, i in enumerate(new[:kept]))
+        return np.array(numbers, np.int64)
+
+    # --- texts ---
+
+    def encode_slice(self, texts: pa.Array, end_id: int | None) -> pa.Array:
+        """Ids of each whole text as binary, with ``end_id`` behind them; null is empty."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        raw = pc.match_substring_regex(texts, AS_IS)
+        low = pc.ascii_lower(pc.replace_substring_regex(pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), STOP, r"\1 \2\3"))
+        plain = pc.if_else(raw, texts, low)
+        for c in "\n\t":
+            plain = pc.replace_substring(plain, c, " ")
+        lists = pc.split_pattern(plain, " ")
+        words = lists.flatten().dictionary_encode()
+        numbers = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        lengths = self.length[numbers]
+        total = np.cumsum(lengths)
+        per = np.concatenate([[0], total])[ends]  # ids before each text's end
+        at = np.repeat(self.start[numbers] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)
+        ids = self.flat[at]
+        if end_id is not None:
+            ids = np.insert(ids, per, end_id)
+            per = per + np.arange(1, n + 1)
+        offsets = np.concatenate([[0], per]) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, self.dtype))])
+
+    def encode_array(self, texts: pa.Array, end_id: int | None) -> Iterator[tuple[int, pa.Array]]:
+        """(first row, ids) of slices of at most ``SLICE_BYTES`` of text, or of one longer text."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < len(texts):
+            before = int(size[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
+            yield at, self.encode_slice(texts.slice(at, to - at), end_id)
+            at = to
 
     def encode(self, text: str | None) -> bytes:
-        """All ids of the whole text, without special tokens added; null is empty."""
-        if not text:
-            return b""
-        words = self._words(text)
-        if len(self.cache) > CACHE_WORDS:
-            old = self.cache
-            old.old = {}
-            self.cache = _Words(dict(old))
-        cache = self.cache
-        ids = list(map(cache.__getitem__, words))
-        if cache.missing:
-            learned = self._learn(list(set(cache.missing)))
-            cache.missing = []
-            for i, x in enumerate(ids):
-                if x is None:
-                    ids[i] = learned[words[i]]
-            cache.update((w, x) for w, x in learned.items() if len(w) <= LONGEST_CACHED)
-        return b"".join(ids)
-
-    def document(self, text: str | None, end_id: int) -> bytes:
-        return self.encode(text) + int(end_id).to_bytes(self.width, "little")
+        """All ids of one whole text, without an end id."""
+        return self.encode_slice(pa.array([text], pa.large_string()), None)[0].as_py()
 
 
 def encode_batches(batches, vocabulary: str, end_id: int):
-    """For mapInArrow: the column ``text`` of each batch becomes ``ids``; a few hundred texts are Python strings at a time."""
-    import pyarrow as pa
-
+    """For mapInArrow: the column ``text`` of each batch becomes ``ids``, a slice at a time."""
     enc = encoder(vocabulary)
     for batch in batches:
-        for at in range(0, batch.num_rows, 400):
-            part = batch.slice(at, 400)
-            ids = pa.array([enc.document(t, end_id) for t in part.column("text").to_pylist()], pa.binary())
-            kept = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), ids], names=[*kept, "ids"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        for at, ids in enc.encode_array(batch.column("text"), end_id):
+            part = batch.slice(at, len(ids))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), ids.cast(pa.binary())], names=[*kept, "ids"])
 
 
 @lru_cache(maxsize=2)
