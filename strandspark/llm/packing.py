@@ -1,15 +1,18 @@
 """Operator 4: pack documents into sequences by Karmarkar-Karp multiway differencing.
 
-Documents are dealt by a hash of their id to blocks of about ``BLOCK_BYTES`` of text. In a block every document is cut
-into full windows and one remainder. The remainders are the items: each starts as a partial partition of its own, and
-the two partial partitions with the largest differences are merged with opposing imbalances, the largest windows of one
-meeting the smallest of the other, until one partition into k near-equal windows is left. If a window exceeds the
-capacity, k rises by one and the differencing runs again, as long as that costs at most ``SLACK`` of the windows; what is
-over after that is cut off and moved to windows with room (pieces may be cut freely), and k rises further only if there
-is no room. A window whose length is a power of two needs no padding.
+Documents are tokenised and packed where they lie, without a shuffle: a task gathers blocks of about ``BLOCK_IDS`` ids. In a
+block every document is cut into full windows and one remainder. The remainders are the items: each starts as a partial
+partition of its own, and the two partial partitions with the largest differences are merged with opposing imbalances, the
+largest windows of one meeting the smallest of the other, until one partition into k near-equal windows is left. If a
+window exceeds the capacity, k rises by one, the surplus of each window that is too long is cut off its longest item
+(pieces may be cut freely) and becomes items of its own, and the differencing runs again over all items. So every window is
+one of a differencing, and none is changed after it. A window whose length is a power of two needs no padding.
+
+A block holds neighbours of the input, whatever their ids, so equal ids or texts make no group of their own. Tables of
+many small partitions are coalesced first, by the size that the planner knows, to keep blocks whole.
 
 Defined cases: null or empty text is the end id alone; a text longer than a window fills several; repeated rows are
-packed one by one; an empty table gives an empty result. Block and order depend on ids and texts only.
+packed one by one; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +21,19 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm.tokens import default_vocabulary, encode_batches, encoder, wide
 
-BLOCK_BYTES = 4 << 20
-SLACK = 0.004
+#: Ids of a block; the last block of a task may have fewer.
+BLOCK_IDS = 1 << 20
+#: Bytes of the input, as the planner knows them, that a task gets at least.
+TASK_BYTES = 1 << 20
+#: A surplus above this length is cut in two.
+WHOLE = 64
 
 
 class _Tree:
@@ -87,75 +95,71 @@ def pack_block(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
             items.append((d, whole * capacity, n - whole * capacity))
     if not items:
         return windows
-    sizes = [x[2] for x in items]
-    least = -(-sum(sizes) // capacity)
-    most = least + max(1, int(least * SLACK))
-    for k in range(least, most + 1):
-        groups = differencing(sizes, k)
-        over = max(sum(sizes[i] for i in g) for g in groups) > capacity
-        if not over:
+    k = -(-sum(x[2] for x in items) // capacity)
+    while True:
+        groups = [[items[i] for i in g] for g in differencing([x[2] for x in items], k)]
+        over = [sum(x[2] for x in g) - capacity for g in groups]
+        if max(over) <= 0:
             break
-    packed = [[items[i] for i in g] for g in groups] + [[] for _ in range(k - len(groups))]
-    if over:
-        loose: list[tuple[int, int, int]] = []
-        for w in packed:
-            extra = sum(x[2] for x in w) - capacity
-            if extra > 0:  # cut from the end of the longest piece
-                at = max(range(len(w)), key=lambda i: w[i][2])
-                d, start, n = w[at]
+        k += 1
+        for g, extra in zip(groups, over):
+            if extra > 0:
+                at = max(range(len(g)), key=lambda i: g[i][2])
+                d, start, n = g[at]
                 cut = min(extra, n - 1)
-                w[at] = (d, start, n - cut)
-                loose.append((d, start + n - cut, cut))
-                while (extra := sum(x[2] for x in w) - capacity) > 0:
-                    d, start, n = w.pop()
-                    cut = min(extra, n)
-                    loose.append((d, start + n - cut, cut))
-                    if n > cut:
-                        w.append((d, start, n - cut))
-        room = sorted(((capacity - sum(x[2] for x in w), i) for i, w in enumerate(packed)), reverse=True)
-        at = 0
-        for d, start, n in sorted(loose, key=lambda x: -x[2]):
-            while n:
-                if at == len(room):  # no room is left: the window count rises
-                    packed.append([])
-                    room.append((capacity, len(packed) - 1))
-                free, i = room[at]
-                part = min(free, n)
-                if part:
-                    packed[i].append((d, start, part))
-                    room[at] = (free - part, i)
-                start, n = start + part, n - part
-                at += room[at][0] == 0
-    return windows + [w for w in packed if w]
+                parts = [n - cut, cut] if cut <= WHOLE else [n - cut, cut // 2, cut - cut // 2]
+                g[at : at + 1] = [(d, start + sum(parts[:i]), m) for i, m in enumerate(parts) if m]
+        items = [x for g in groups for x in g]
+    return windows + [_joined(g) for g in groups if g]
+
+
+def _joined(window: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces in order, neighbours of one document as one piece."""
+    out: list[tuple[int, int, int]] = []
+    for d, start, n in sorted(window):
+        if out and out[-1][0] == d and out[-1][1] + out[-1][2] == start:
+            out[-1] = (d, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((d, start, n))
+    return out
 
 
 def _pack(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, end_id: int, capacity: int, name: str, kind: str, make) -> DataFrame:
     """Pieces, with the column ``name`` made of each piece's ids (bytes) and their width."""
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64(F.lit(4), "doc_id", F.octet_length("text")), F.lit(blocks)))
-
-    def tokenised(batches):
-        return encode_batches(batches, vocabulary, end_id)
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = encoder(vocabulary).width
-        pdf = pdf.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
-        docs_, ids, base = list(pdf["doc_id"]), list(pdf["ids"]), int(pdf["block"].iloc[0]) << 31
+    def block(doc_ids: list, ids: list[bytes], width: int, first: int) -> tuple[pa.RecordBatch, int]:
         lengths = [len(x) // width for x in ids]
-        rows = []
-        for s, w in enumerate(pack_block(lengths, capacity)):
+        rows, s = [], first
+        for w in pack_block(lengths, capacity):
             at = 0
             for d, start, n in w:
-                rows.append((docs_[d], start, n, make(ids[d][start * width : (start + n) * width], width), lengths[d], base + s, at))
+                rows.append((doc_ids[d], start, n, make(ids[d][start * width : (start + n) * width], width), lengths[d], s, at))
                 at += n
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"])
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
+            s += 1
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names), s
+
+    def packed(batches):
+        width, held, doc_ids, ids = encoder(vocabulary).width, 0, [], []
+        first = TaskContext.get().partitionId() << 40
+        for batch in encode_batches(batches, vocabulary, end_id):
+            for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                doc_ids.append(d)
+                ids.append(x)
+                held += len(x) // width
+                if held >= BLOCK_IDS:
+                    out, first = block(doc_ids, ids, width, first)
+                    held, doc_ids, ids = 0, [], []
+                    yield out
+        if ids:
+            yield block(doc_ids, ids, width, first)[0]
 
     schema = f"doc_id bigint, start bigint, length bigint, {name} {kind}, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select("block", "doc_id", "text").mapInArrow(tokenised, "block bigint, doc_id bigint, ids binary").groupBy("block").applyInPandas(packed, schema)
+    return docs.coalesce(min(1 << 30, max(1, known // TASK_BYTES))).mapInArrow(packed, schema)
 
 
 def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", vocabulary: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:
