@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm._shared import materialize
+from strandspark.llm._shared import discard, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step over edges (a > b). The least neighbour of each node is pre-aggregated before the shuffle and written
+    """One step over written edges (a > b), which it deletes. The least neighbour of each node is pre-aggregated before the shuffle and written
     out, so the join back has two plain exchanges and adaptive execution may split a hub's rows."""
     if small:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -21,7 +21,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.where("u <> m").select("u", "m"))
     else:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return materialize(out.where("a > b").distinct(), "cc-edges")
+    out = materialize(out.where("a > b").distinct(), "cc-edges")
+    discard(edges, least)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 #: Prefix of helper columns, so that they do not meet a column of the input.
 P = "__ss_"
+#: Names the folder that a local session has set for itself.
+_OWN = "STRANDSPARK_TEST_DIR"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The run's folder under ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The run's folder under ``spark.checkpoint.dir``. Where that is unset, as in tests, a local session sets its own; a
+    cluster's executors would not reach such a folder, so there it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get(_OWN)
     if not base:
-        base = os.environ.setdefault("STRANDSPARK_TEST_DIR", tempfile.mkdtemp(prefix="strandspark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = os.environ[_OWN] = tempfile.mkdtemp(prefix="strandspark-")
         spark.sparkContext.setCheckpointDir(base)
     root = f"{base.rstrip('/')}/strandspark-{spark.sparkContext.applicationId}"
     path, fs = _hadoop(spark, root)
@@ -44,11 +49,48 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> bool:
-    """Atomic where the file system's rename is; false if the target is there or the source is not."""
-    p, fs = _hadoop(spark, old)
-    q, _ = _hadoop(spark, new)
-    return False if fs.exists(q) or not fs.exists(p) else bool(fs.rename(p, q))
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file ``path`` with ``text``, whole or not at all; false if it is there already. The file is written under
+    another name and linked (local file systems) or renamed (others) to its own, neither of which replaces a file. On a store
+    whose rename is not atomic, writers have to be kept apart by other means."""
+    p, fs = _hadoop(spark, path)
+    if fs.exists(p):
+        return False
+    fs.mkdirs(p.getParent())
+    if str(fs.getScheme()) == "file":
+        place = p.toUri().getPath()
+        tmp = f"{os.path.dirname(place)}/.{uuid.uuid4().hex}"
+        with open(tmp, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(tmp, place)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(tmp)
+    q, _ = _hadoop(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(q, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    done = bool(fs.rename(q, p))
+    if not done:
+        fs.delete(q, False)
+    return done
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +99,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ss_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            delete(df.sparkSession, df._ss_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -106,13 +157,19 @@ def _arrow_fs(uri: str):
 
 
 def write_file(uri: str, data: bytes) -> None:
-    """Write under a name of its own, then move into place: a retried or doubled task leaves one whole file."""
+    """Write under a name of its own, then move into place: a retried or doubled task leaves one whole file. Where a move
+    does not replace a file, the one that an earlier attempt of the task has left is as good and stays."""
     fs, path = _arrow_fs(uri)
     folder, _, name = path.rpartition("/")
     tmp = f"{folder}/_tmp-{uuid.uuid4().hex}-{name}"
     with fs.open_output_stream(tmp) as out:
         out.write(data)
-    fs.move(tmp, path)
+    try:
+        fs.move(tmp, path)
+    except OSError:
+        if fs.get_file_info(path).size != len(data):
+            raise
+        fs.delete_file(tmp)
 
 
 def read_file(uri: str) -> bytes:

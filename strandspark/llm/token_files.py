@@ -3,7 +3,8 @@
 A shard file holds a run of documents in ascending id order: their ids concatenated, two bytes each where the vocabulary
 allows, and two Elias-Fano sequences, the documents' end offsets and the document ids less the smallest. An Elias-Fano
 sequence keeps the low bits of each value in a packed array and the high bits in unary; a sampled select structure over
-the unary part (the position of every 64th one) returns any value without a table of 64-bit offsets.
+the unary part (the position of every 64th one) returns any value without a table of 64-bit offsets. Reading back asks it
+for every document's offsets and id, many at a time (:meth:`EliasFano.select_many`).
 
 Layout, little-endian: magic, version, id width, number of documents, of ids, of null ids (at the end), base id, then
 the two sequences (each: low bits, universe, three lengths, low words, high words, samples), then the ids.
@@ -23,17 +24,31 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm._shared import fresh_dir, materialize, partitions, range_bounds, write_file
+from strandspark.llm._shared import fresh_dir, materialize, partitions, range_bounds, read_file, write_file
 from strandspark.llm.tokens import default_vocabulary, encode_batches, encoder, wide
 
 MAGIC = b"SSEFTOK1"
 #: Ids a shard file holds at most, unless one document alone has more.
-SHARD_IDS = 2 << 20
+SHARD_IDS = 16 << 20
 SAMPLE = 64
+#: Documents that are read back at a time.
+TOGETHER = 1 << 16
+
+
+def _in_byte() -> np.ndarray:
+    """Place of the k-th one of each byte; 8 where there is none."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+    out = np.full((256, 8), 8, np.int64)
+    row, place = np.nonzero(bits)
+    out[row, (np.cumsum(bits, axis=1) - 1)[row, place]] = place
+    return out
+
+
+_IN_BYTE = _in_byte()
 
 
 class EliasFano:
@@ -87,15 +102,28 @@ class EliasFano:
             low = (raw >> (start & 7)) & ((1 << self.low_bits) - 1)
         return (high << self.low_bits) | low
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        if not self.n:
-            return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def select_many(self, index: np.ndarray) -> np.ndarray:
+        """``select`` of many positions at once: all start at their samples and pass over bytes until they are there."""
+        index = np.asarray(index, np.int64)
+        at, left = self.samples[index // SAMPLE].astype(np.int64), index % SAMPLE
+        byte, word = at >> 3, np.zeros(len(index), np.uint8)
+        if len(index):
+            word = (self.high[byte] >> (at & 7).astype(np.uint8)) << (at & 7).astype(np.uint8)
+        active = np.flatnonzero(left >= np.bitwise_count(word))
+        while len(active):
+            left[active] -= np.bitwise_count(word[active])
+            byte[active] += 1
+            word[active] = self.high[byte[active]]
+            active = active[left[active] >= np.bitwise_count(word[active])]
+        values = (byte * 8 + _IN_BYTE[word, left] - index).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            values |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            start = index * self.low_bits
+            low = np.concatenate([self.low, np.zeros(9, np.uint8)])
+            raw = low[(start >> 3)[:, None] + np.arange(8)].view("<u8")[:, 0] >> (start & 7).astype(np.uint64)
+            if self.low_bits > 57:  # a value may reach into a ninth byte
+                more = low[(start >> 3) + 8].astype(np.uint64)
+                raw |= np.where(start & 7, more << (np.uint64(64) - np.maximum(start & 7, 1).astype(np.uint64)), np.uint64(0))
+            values |= raw & np.uint64((1 << self.low_bits) - 1)
         return values
 
     def tobytes(self) -> bytes:
@@ -154,8 +182,6 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col="doc_id", text_col
     bounds = np.array(range_bounds(docs, "doc_id", min(4096, 2 * n)), np.int64)
 
     def tokenised(batches):
-        import pyarrow as pa
-
         for part in encode_batches(batches, vocabulary, end_id):
             doc_id = part.column("doc_id")
             bucket = np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(), side="right").astype("int32")
@@ -163,8 +189,6 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col="doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(bucket), doc_id, part.column("ids")], names=["bucket", "doc_id", "ids"])
 
     def written(batches):
-        import pyarrow as pa
-
         width = encoder(vocabulary).width
         key, seq, held, doc_ids, ids = None, 0, 0, [], []
 
@@ -196,22 +220,28 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col="doc_id", text_col
 
 
 def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens, ids_crc32 per document."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eftok").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """Read the manifest's files back: doc_id, start, n_tokens, ids_crc32 per document. Offsets and ids come from select."""
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b["file"], b["content"]):
-                s = Shard(content)
-                ends, gaps = s.ends.all().astype(np.int64), s.gaps.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                ids = pd.array([s.base + int(g) for g in gaps] + [None] * s.nulls, dtype="Int64")
-                w = s.width
-                crc = [zlib.crc32(wide(s.payload[a * w : e * w], w)) for a, e in zip(starts, ends)]
-                yield pd.DataFrame({"file": name, "doc_id": ids, "local": starts, "n_tokens": ends - starts, "ids_crc32": crc})
-
-    rows = files.mapInPandas(decoded, "file string, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(manifest.select("file", "first_id"), "file").select("doc_id", (F.col("first_id") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+            for name, first in zip(b.column("file").to_pylist(), b.column("first_id").to_pylist()):
+                s = Shard(read_file(f"{folder}/{name}"))
+                for lo in range(0, s.n, TOGETHER):
+                    index = np.arange(lo, min(s.n, lo + TOGETHER))
+                    ends = s.ends.select_many(index).astype(np.int64)
+                    starts = np.concatenate([s.ends.select_many(index[:1] - 1).astype(np.int64) if lo else [0], ends[:-1]])
+                    known = index[index < s.n - s.nulls]
+                    ids = [s.base + g for g in s.gaps.select_many(known).tolist()] + [None] * (len(index) - len(known))
+                    w = s.width
+                    crc = [zlib.crc32(wide(s.payload[a * w : e * w], w)) for a, e in zip(starts.tolist(), ends.tolist())]
+                    columns = [pa.array(ids, pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    files = manifest.select("file", "first_id")
+    n = max(1, manifest.count())
+    # one file a task, so that a lost executor costs little
+    files = files.repartitionById(min(n, 10_000), F.pmod(F.xxhash64("file"), F.lit(min(n, 10_000))).cast("int"))
+    return files.mapInArrow(decoded, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_offsets(docs: DataFrame, **options) -> DataFrame:
