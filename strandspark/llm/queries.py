@@ -47,13 +47,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as read back through the last manifest: doc_id, n_chars (of the text read), and the shard, its
-    bytes and rows, and the version."""
+    """Every document as read back through the last manifest, by a store that knows its folder only: doc_id, n_chars and
+    text_sha256 of the text read, and whether the row's shard is in the manifest with the rows that it holds."""
     store, version = sharding.shard_documents(_table(spark, sf_dir, "documents"))
-    shards = store.manifest(version).select(F.concat_ws("/", "run", "file").alias("_shard"), "bytes", "rows", "generation")
-    docs = store.read(version).select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "_shard")
-    out = docs.join(shards, "_shard").select("doc_id", "n_chars", F.col("_shard").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "generation", F.lit(version).cast("bigint").alias("manifest_version"))
-    return out
+    store = sharding.ShardStore(spark, store.root)
+    docs = store.read(version, "file").select("doc_id", "file", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    held = store.read(version, "file").groupBy("file").count().join(store.manifest(version), "file").select("file", (F.col("count") == F.col("rows")).alias("ok"))
+    return docs.join(held, "file", "left").select("doc_id", "n_chars", "text_sha256", F.coalesce("ok", F.lit(False)).alias("listed"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+_OP8 = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256, true AS listed FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _OP3, "op9_exact_dedup": _OP9}
+    return {"op8_sharding": _OP8, "op3_chat": _OP3, "op9_exact_dedup": _OP9}

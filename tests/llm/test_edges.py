@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandspark.llm import chat, exact_dedup, html, mixing, packing, sharding, simhash, token_files, toxicity
 from strandspark.llm import vectors as vec
 from strandspark.llm._graph import components
-from strandspark.llm._shared import fresh_dir
+from strandspark.llm._shared import fresh_dir, list_names
 
 #: Names that operators might use themselves.
 CLASH = ["size", "taken", "target", "count", "n", "key", "block", "ids", "bucket", "digest", "norm", "h", "fp", "node", "component", "batch", "shard", "a", "b", "path", "tokens", "toxic", "rows"]
@@ -158,10 +158,49 @@ def test_differencing():
         sums = [sum(sizes[i] for i in g) for g in groups] + [0] * (k - len(groups))
         assert max(sums) - min(sums) <= max(sizes)
         windows = packing.pack_block(sizes, 64)
+        joined = [packing._joined(w) for w in windows]
+        assert joined == windows
         assert all(sum(p[2] for p in w) <= 64 for w in windows)
         assert sorted((d, x) for w in windows for d, s, m in w for x in range(s, s + m)) == [(d, x) for d, m in enumerate(sizes) for x in range(m)]
 
 
+def test_every_window_is_of_a_differencing(monkeypatch):
+    """In distributions where the least count never fits: what is packed is what the last differencing returned."""
+    r = np.random.default_rng(6)
+    made, real = [], packing.differencing
+
+    def noted(sizes, k):
+        got = real(sizes, k)
+        made.append(sorted(sum(sizes[i] for i in g) for g in got if g))
+        assert len(got) <= k
+        return got
+
+    monkeypatch.setattr(packing, "differencing", noted)
+    for lengths in (r.integers(900, 2000, 1500), np.exp(r.normal(6, 1.2, 2000)).astype(int) + 1, r.integers(20, 400, 4000), np.full(900, 1500), r.integers(2, 5, 3000), r.integers(1020, 1100, 1200)):
+        made.clear()
+        windows = packing.pack_block(lengths.tolist(), 2048)
+        full = sum(int(n) // 2048 for n in lengths)
+        assert made[-1] == sorted(sum(p[2] for p in w) for w in windows[full:]) and max(made[-1]) <= 2048
+        assert sum(p[2] for w in windows for p in w) == lengths.sum()
+        assert len(windows) * 2048 <= 1.02 * lengths.sum() + 2 * 2048
+
+
+def test_tokens_against_the_library():
+    """Random strings of characters that normalise, combine, lower-case or divide in unusual ways."""
+    import pyarrow as pa
+
+    from strandspark.llm import tokens
+
+    enc, r = tokens.encoder(tokens.default_vocabulary()), random.Random(9)
+    marks = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\n", "\t", "\r", "\x0b", "\x0c", "\u0300", "\u0301", "\u0307", "\u030c", "\u0338", "\u0345", "\u03a3", "\u03c2", "\u212b", "\u1e9e", "\ufb01", "\uac00", "\u1100", "\u1161", "\u11a8", "\U0001f600", "\u200d", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'S", "\u0483", "\u0416", "\u0663", "\u2167", "\x00", "\ufeff"]
+    parts = [*"abcXYJK\xe9\xc9\xdf\u0130\u0149\u01f0.,.,  '!?-_09=<>", *marks]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(15))) for _ in range(100_000)] + ["a" * 300 + " b", None, "\x1c,", "word\x1c, a", "J\u030c. K"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    got = [x for _, ids in enc.encode_array(pa.array(texts), None) for x in ids.to_pylist()]
+    assert got == want
+    assert [x for _, ids in enc.encode_array(pa.array(texts[-5:]), 1) for x in ids.to_pylist()] == [x + b"\x01\x00" for x in want[-5:]]
+
+
 def test_vectors(spark):
     r = random.Random(8)
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(150)]
@@ -206,39 +245,79 @@ def test_token_files(spark, docs, twice, none):
 
 def test_elias_fano():
     r = np.random.default_rng(1)
-    for n, top in ((0, 1), (1, 1), (1, 1 << 40), (500, 3), (1000, 1 << 45), (3000, 90000)):
+    for n, top in ((0, 1), (1, 1), (1, 1 << 40), (500, 3), (1000, 1 << 45), (3000, 90000), (3, (1 << 63) - 1), (130, 1 << 62)):
         v = np.sort(r.integers(0, top, n)).astype(np.uint64)
         ef, end = token_files.EliasFano.read(memoryview(b"xx" + token_files.EliasFano.build(v).tobytes()), 2)
-        assert ef.all().tolist() == v.tolist() and [ef.select(i) for i in range(n)] == v.tolist()
+        assert ef.select_many(np.arange(n)).tolist() == v.tolist() and [ef.select(i) for i in range(n)] == v.tolist()
     ids = [np.arange(k, dtype="<u2").tobytes() for k in (1, 5, 300)]
     s = token_files.Shard(token_files.encode_shard([-7, 2, None], ids, 2))
     assert [s.ids(i) for i in range(3)] == ids and [s.doc_id(i) for i in range(3)] == [-7, 2, None] and s.span(2) == (6, 306)
 
 
+def same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_sharding(spark, twice, none):
     store, version = sharding.shard_documents(twice, arrivals=5)
     back = store.read()
-    assert back.drop("_shard").columns == twice.columns
-    same = lambda a, b: a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert same(spark.createDataFrame(back.drop("_shard").collect(), twice.schema), twice)
-    assert store.manifest().agg(F.sum("rows")).first()[0] == twice.count() and store.versions() == [version]
+    assert back.columns == twice.columns and store.read(shard_col="_file").columns == [*twice.columns, "_file"]
+    assert same(spark.createDataFrame(back.collect(), twice.schema), twice)
+    assert store.manifest().agg(F.sum("rows")).first()[0] == twice.count() and store.versions() == list(range(1, version + 1))
+    assert store.read(1).count() == twice.count()
+    names = [r["shard"] for r in store.manifest().collect()]
+    assert len(set(names)) == len(names)
+    counts = {r["_file"]: r["count"] for r in store.read(shard_col="_file").groupBy("_file").count().collect()}
+    assert counts == {r["file"]: r["rows"] for r in store.manifest().where("rows > 0").collect()}
     before = store.manifest().count()
     store.append(twice)
     assert store.read().count() == 2 * twice.count() and store.manifest(store.versions()[-1]).count() > before
     store.compact()
     assert store.read().count() == 2 * twice.count()
+    with pytest.raises(ValueError, match="holds rows of"):
+        store.append(twice.drop("text"))
     empty, _ = sharding.shard_documents(none, arrivals=3)
-    assert empty.read().count() == 0
-
+    assert empty.read().count() == 0 and empty.read(shard_col="_file").count() == 0
+
+
+def test_sharding_reopened(spark, docs):
+    """A new object that knows the folder only appends, compacts and reads; a reader made before goes on."""
+    root = fresh_dir(spark, "reopened")
+    with pytest.raises(ValueError, match="no version"):
+        sharding.ShardStore(spark, root).read()
+    for i in range(4):
+        sharding.ShardStore(spark, root).append(docs.withColumn("doc_id", F.col("doc_id") + 1000 * i), 3, "doc_id")
+    reader = sharding.ShardStore(spark, root).read()
+    before = sharding.ShardStore(spark, root).manifest().count()
+    version = sharding.ShardStore(spark, root).compact()
+    store = sharding.ShardStore(spark, root)
+    assert store.versions()[-1] == version and store.manifest().count() < before
+    assert reader.count() == store.read().count() == 4 * docs.count() and same(reader.drop("x"), spark.createDataFrame(store.read().collect(), store.schema))
+    assert store.vacuum() == 0 and reader.count() == 4 * docs.count()
+    assert store.vacuum(retain_s=0) == version - 1 and store.versions() == [version]
+    assert sharding.ShardStore(spark, root).read().count() == 4 * docs.count()
+    assert not any(n.startswith(".") for n in list_names(spark, f"{root}/versions"))
+
+
+def test_sharding_writers_race(spark, docs):
+    """Of writers that start from one version, one commits and the others are told."""
+    from concurrent.futures import ThreadPoolExecutor
 
-def test_sharding_commit_conflict(spark, docs):
     root = fresh_dir(spark, "conflict")
-    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
-    a.append(docs.limit(3))
-    b.schema, versions = a.schema, a.versions()
-    b.versions = lambda: versions[:-1]  # a writer that has not seen the last version
-    with pytest.raises(RuntimeError, match="first"):
-        b.commit(a.manifest())
+    sharding.ShardStore(spark, root).append(docs.limit(3))
+    stores = [sharding.ShardStore(spark, root) for _ in range(4)]
+
+    def commit(store):
+        try:
+            return store.commit(store.manifest(1), 1)
+        except RuntimeError as exc:
+            assert "first" in str(exc)
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(commit, stores))
+    assert sorted(map(str, done)) == ["2", "None", "None", "None"] and stores[0].versions() == [1, 2]
+    assert stores[0].read().count() == 3
 
 
 def test_exact_dedup(docs, twice, none):
