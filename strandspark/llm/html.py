@@ -62,7 +62,11 @@ for _i, _words in enumerate(NAMES):
 
 #: White space, slashes and attributes of a tag. A quote opens a string only as the first character of a value, and only if it is closed.
 _ATTRS = r"""(?>[ \t\n\f\r/]+|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*"|'[^']*'|[^ \t\n\f\r>]*+))?)*+"""
-SCAN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)(""" + _ATTRS + r""")(>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+#: A comment (``<!-->`` and ``<!--->`` end at once), a tag, or a declaration or what HTML reads as a comment.
+SCAN = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)(""" + _ATTRS + r""")(>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*(?:>|\Z)""", re.S)
+#: An unquoted value at the end of a tag: a slash there belongs to the value.
+VALUE_LAST = re.compile(r"""=[ \t\n\f\r]*[^ \t\n\f\r>"'][^ \t\n\f\r>]*\Z""")
+HREF = re.compile(r"(?:^|[\s/\"'])href\s*=", re.I)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -84,8 +88,12 @@ class Page:
         return len(self.tag) - 1
 
     def _scan(self, s: str) -> None:
+        """One pass. The open elements are a stack; ``places`` has the places of each tag's open elements there and
+        ``blocks`` those of block elements, so no tag costs more than the elements that it closes."""
         root = self._node("html", -1)
-        stack: list[tuple[str, int]] = [("html", root)]  # open elements with the block node they write to
+        stack: list[tuple[str, int, bool]] = [("html", root, False)]  # tag, block node that text goes to, whether a link
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = []
         leaf, links, at = -1, 0, 0
 
         def say(piece: str) -> None:
@@ -98,6 +106,41 @@ class Page:
             if links:
                 self.linked[leaf] += len(piece)
 
+        def opened(tag: str, node: int, link: bool) -> None:
+            nonlocal links
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((tag, node, link))
+            links += link
+
+        def closed(place: int) -> bool:
+            """Close all from ``place`` on; whether a block was among them."""
+            nonlocal links
+            block = bool(blocks) and blocks[-1] >= place
+            while len(stack) > place:
+                tag, _, link = stack.pop()
+                places[tag].pop()
+                links -= link
+            while blocks and blocks[-1] >= place:
+                blocks.pop()
+            return block
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def implied(tag: str) -> None:
+            """Close what a start tag closes: list items and cells by their like, a paragraph by any block."""
+            if tag in CLOSES:
+                like = last(CLOSES[tag][0].split())
+                if like and like > last(CLOSES[tag][1]):
+                    closed(like)
+                    return
+            if blocks:
+                top = stack[blocks[-1]][0]
+                if top == "p" or top == "head" and tag not in HIDDEN:
+                    closed(blocks[-1])
+
         end, find = len(s), SCAN.search
         while at < end:
             m = find(s, at)
@@ -114,68 +157,41 @@ class Page:
             if not m[4]:  # cut off inside a tag
                 break
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        if any(t in BLOCKS for t, _ in stack[i:]):
-                            leaf = -1
-                        del stack[i:]
-                        break
-                    if tag not in BLOCKS and stack[i][0] in BLOCKS:
-                        break  # an inline end tag does not close a block
+                place = last((tag,))
+                # an inline end tag does not close a block
+                if place and (tag in BLOCKS or not blocks or blocks[-1] < place) and closed(place):
+                    leaf = -1
                 continue
+            # only void elements and drawings end by a slash
+            alone = tag in VOID or tag == "svg" and m[3].endswith("/") and not VALUE_LAST.search(m[3])
             if tag in BLOCKS:
                 leaf = -1
-                self._imply(stack, tag)
-                links = sum(t == "a" for t, _ in stack)
+                implied(tag)
                 names = frozenset()
                 if len(m[3]) > 4:
                     found = " ".join(x or y or z for _, x, y, z in ATTR.findall(m[3]))
                     if found:
                         names = frozenset(i for w in PART.findall(found) for i in NAME.get(w.lower(), ()))
-                if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
+                if tag == "html" or tag == "body" and places.get("body"):
                     continue
                 node = self._node(tag, stack[-1][1], names)
-                if tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, node))
-                elif tag in VOID:
-                    continue
+                if not alone:
+                    opened(tag, node, False)
             else:
                 if leaf >= 0:
                     self.inner[leaf] += 1
                 if tag == "br":
                     if leaf >= 0:
                         self.text[leaf].append(" ")
-                elif tag not in VOID and tag not in RAW and not m[3].endswith("/"):
-                    stack.append((tag, stack[-1][1]))
-                    links += tag == "a"
-            if tag in RAW and not m[3].endswith("/"):
+                elif not alone and tag not in RAW:
+                    opened(tag, stack[-1][1], tag == "a" and bool(HREF.search(m[3])))
+            if tag in RAW and not alone:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
                 at = close.start() if close else end
                 if tag not in BLOCKS:
                     m = find(s, at)
                     at = m.end() if m else end
 
-    @staticmethod
-    def _imply(stack: list, tag: str) -> None:
-        """Close what a start tag closes: a paragraph by any block, list items and cells by their like."""
-        if tag in CLOSES:
-            like, fence = CLOSES[tag][0].split(), CLOSES[tag][1]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in like:
-                    del stack[i:]
-                    return
-                if stack[i][0] in fence:
-                    break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == "p":
-                del stack[i:]
-                return
-            if stack[i][0] in BLOCKS:
-                if stack[i][0] == "head" and tag not in HIDDEN:
-                    del stack[i:]
-                return
-
     def strings(self) -> list[str]:
         """The text of each node, decoded, each run of white space one space."""
         return [" ".join(entities.unescape("".join(t)).split()) if t else "" for t in self.text]
@@ -198,8 +214,8 @@ def features(page: Page, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     stat[:, 4] = [s.count(" ") + 1 if s else 0 for s in strings]
     stat[:, 5] = [s[-1:] in ".!?…\"'" if s else 0 for s in strings]
     depth, index, kids = np.zeros(n), np.zeros(n), np.zeros(n)
-    names, above = np.zeros((n, len(NAMES))), np.zeros((n, len(NAMES)))
-    kinds_above = np.zeros((n, len(KINDS)))
+    names, above = np.zeros((n, len(NAMES)), bool), np.zeros((n, len(NAMES)), bool)
+    kinds_above = np.zeros((n, len(KINDS)), bool)
     hidden = np.zeros(n, bool)
     for i in range(1, n):  # parents come before their children
         p = parent[i]
@@ -222,7 +238,7 @@ def features(page: Page, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     chars = stat[:, 0]
     largest, total_kids = np.zeros(n), kids[parent]
     np.maximum.at(largest, parent[1:], chars[1:])
-    tagged = np.zeros((n, len(KINDS)))
+    tagged = np.zeros((n, len(KINDS)), bool)
     ok = kind >= 0
     tagged[ok, kind[ok]] = 1
     size = np.maximum(chars, 1)
