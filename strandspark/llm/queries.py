@@ -94,5 +94,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 _OP8 = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256, true AS listed FROM documents"
 
 
+_OP5 = """
+WITH RECURSIVE t AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM t a JOIN t b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN part USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": _OP8, "op3_chat": _OP3, "op9_exact_dedup": _OP9}
+    return {"op5_vectors": _OP5, "op8_sharding": _OP8, "op3_chat": _OP3, "op9_exact_dedup": _OP9}
