@@ -114,3 +114,81 @@ def conversation(rows):
     said = "".join(f"{r}\n{x}\n" for _, r, x in rows)
     loss = "".join(x for _, r, x in rows if r == "assistant")
     return len(rows), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def toxic_chain(docs, labels, folds=5, cut=10.83, l2=1e-4):
+    """(doc_id, text) and (doc_id, quality, toxic), unique ids -> doc_id -> (three probabilities, rejected); dense matrices
+    and whole Newton steps."""
+    import struct
+
+    import regex
+
+    def tokens(text):
+        w = set(regex.findall(r"\p{L}+", (text or "").lower()))
+        return w | {f"^{x[:n]}" for x in w for n in (4, 5, 6) if len(x) >= n}
+
+    def fold_of(d):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 66), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", d), h)
+        return (h - (1 << 64) if h >= 1 << 63 else h) % folds
+
+    texts = dict(docs)
+    train = sorted((d, t, 1 if q is None else q) for d, q, t in labels if d in texts)
+    sets, fold = [tokens(texts[d]) for d, _, _ in train], np.array([fold_of(d) for d, _, _ in train])
+    toxic = np.array([t == 1 for _, t, _ in train])
+    good = np.array([q != 0 for _, _, q in train])
+    everything = sorted(set().union(*sets))
+    number = {t: i for i, t in enumerate(everything)}
+    dense = np.zeros((len(train), len(everything)))
+    for i, s in enumerate(sets):
+        dense[i, [number[t] for t in s]] = 1
+
+    def chosen(rows):
+        a, b = dense[rows & toxic].sum(0), dense[rows & ~toxic].sum(0)
+        na, nb = (rows & toxic).sum(), (rows & ~toxic).sum()
+        g = np.zeros(len(everything))
+        for o, e in ((a, (a + b) * na / (na + nb)), (b, (a + b) * nb / (na + nb)), (na - a, (na + nb - a - b) * na / (na + nb)), (nb - b, (na + nb - a - b) * nb / (na + nb))):
+            g += 2 * np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
+        return g >= cut
+
+    def fit(x, y, rows):
+        x, y = np.c_[x, np.ones(len(x))][rows], y[rows]
+        w, shrink = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, l2), 0]
+        if not y.any() or y.all():
+            w[-1] = 30 if y.all() else -30
+            return w
+        for _ in range(300):
+            p = 1 / (1 + np.exp(-x @ w))
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(shrink + 1e-12), x.T @ (p - y) / len(y) + shrink * w)
+            w -= step * min(1, 1 / np.abs(step).max())
+            if np.abs(step).max() < 1e-10:
+                break
+        return w
+
+    score = lambda x, w: np.clip(x @ w[:-1], -12, 12)
+    all_rows = np.ones(len(train), bool)
+    masks = [chosen(fold != f) for f in range(folds)] + [chosen(all_rows)]
+    extra, models = np.zeros((len(train), 0)), []
+    for y in (toxic & good, toxic & ~good, toxic):
+        out = np.zeros(len(train))
+        for f in range(folds):
+            x = np.c_[dense[:, masks[f]], extra]
+            if (fold == f).any():
+                out[fold == f] = score(x, fit(x, y.astype(float), fold != f))[fold == f]
+        models.append(fit(np.c_[dense[:, masks[-1]], extra], y.astype(float), all_rows))
+        extra = np.c_[extra, out]
+    cuts = sorted(set(out))
+    tried = [(2 * (toxic & (out >= c)).sum() / ((out >= c).sum() + toxic.sum()), i) for i, c in enumerate(cuts)]
+    i = max(tried)[1]
+    threshold = (cuts[i] + (cuts[i - 1] if i else cuts[0] - 2)) / 2
+    used = [t for t, m in zip(everything, masks[-1]) if m]
+
+    def run(s):
+        x, extra = np.array([[t in s for t in used]], float).reshape(1, -1), np.zeros((1, 0))
+        for w in models:
+            extra = np.c_[extra, score(np.c_[x, extra], w)]
+        return extra[0]
+
+    threshold = max(threshold, 0)
+    got = {d: run(tokens(t)) for d, t in docs}
+    return {d: (*(1 / (1 + np.exp(-o - [w[-1] for w in models]))).tolist(), bool(o[-1] > threshold)) for d, o in got.items()}

@@ -6,7 +6,7 @@ import zlib
 import corpus_pipeline as pipeline
 import numpy as np
 import pytest
-from brute import conversation, dedup, near, targets, token_rows, vectors
+from brute import conversation, dedup, near, targets, token_rows, toxic_chain, vectors
 from pyspark.sql import functions as F
 
 from strandspark.llm import chat, exact_dedup, html, mixing, packing, sharding, simhash, token_files, toxicity
@@ -148,6 +148,25 @@ def test_packing(docs, twice, none):
     assert packing.pack(none).count() == 0
 
 
+def test_html_tags_as_in_html():
+    page = "<html><body><article><h1>Title</h1><p>First words of the story here.</p>{}<p>Second paragraph of the text.</p></article></body></html>"
+    plain = "Title\nFirst words of the story here.\n{}Second paragraph of the text."
+    for part in ("<script src=https://cdn.example/lib/>var secret = 1;</script>", "<script src='x.js'/>var secret = 1;</script>", "<style/>p {}</style>", "<svg width='1'/>", "<svg><text>x</text></svg>", "<!-- x > y -->", "<!-- a --!>", "</3 a>", "</>", "<?php x ?>"):
+        assert html.extract_all([page.format(part)]) == [plain.format("")], part
+    for part, text in (("<!--><p>Between the two of them.</p><!-- x -->", "Between the two of them."), ("<!---><p>Between the two of them.</p>", "Between the two of them."), ("<div/>Between the two of them.</div>", "Between the two of them."), ("<p>Between <a name=x/>the two</a> of them.", "Between the two of them.")):
+        assert html.extract_all([page.format(part)]) == [plain.format(text + "\n")], part
+
+
+def test_html_deep_nesting():
+    import time
+
+    n = 100_000
+    for page in ("<div>" * n + "some words here", "<div>" * n + "</section>" * n, "<ul>" + "<div>" * n + "<li></li>" * 1000, "<a href=x><div>" + "<b>" * n + "</a>" * n):
+        began = time.process_time()
+        html.Page(page)
+        assert time.process_time() - began < 2
+
+
 def test_differencing():
     r = random.Random(5)
     for _ in range(60):
@@ -211,6 +230,43 @@ def test_vectors(spark):
     assert vec.near_vectors(df.where("false")).count() == 0
 
 
+def test_vector_clusters(spark):
+    """Clusters narrower and wider than a node's reach, one of them most of the table, against all pairs; the recall of
+    links is measured and at least 0.99."""
+    r = np.random.default_rng(4)
+    parts = [r.normal(size=(1500, 24))]
+    for noise, n in ((0.02, 900), (0.15, 250), (0.3, 400), (0.5, 200)):
+        c = r.normal(size=24)
+        parts.append(c / np.linalg.norm(c) + noise * r.normal(size=(n, 24)) / np.sqrt(24))
+    x = np.concatenate(parts)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vec.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert (found[:1500] == want[:1500]).all()
+    shards = vec.build_shards(df)[2].select("shard", "ef", "recall", "nodes").distinct().collect()
+    assert len(shards) == vec.SHARDS and all(s["recall"] >= vec.RECALL for s in shards) and sum(s["nodes"] for s in shards) < 2700
+
+
+def test_large_group_pairs(monkeypatch):
+    """Groups that neither lie wholly within nor wholly beyond the threshold are compared member by member, in blocks."""
+    r = np.random.default_rng(5)
+    c, d = r.normal(size=(2, 16))
+    d -= (d @ c) * c / (c @ c)
+    c, d = c / np.linalg.norm(c), d / np.linalg.norm(d)
+    far = np.cos(0.3) * c + np.sin(0.3) * d
+    x = vec._unit(np.concatenate([v + 0.05 * r.normal(size=(700, 16)) / 4 for v in (c, far)]))
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    for pairs in (1 << 19, 1 << 10):
+        monkeypatch.setattr(vec, "PAIRS", pairs)
+        s = vec.Shard(x, np.ones(len(x), np.int64), np.arange(len(x)), 0.95)
+        assert len(s.start) - 1 < 20
+        total, forest = vec.links(s, 0, len(s.start) - 1, s, True)
+        assert (total[np.argsort(s.key)] == want).all() and len(forest) == len(s.start) - 2
+
+
 def test_toxicity(spark, docs, twice, none):
     r = random.Random(2)
     word = lambda: "word%d" % r.randrange(400)
@@ -229,6 +285,11 @@ def test_toxicity(spark, docs, twice, none):
     got = {r["doc_id"]: r["rejected"] for r in toxicity.score_documents(d, lab).collect()}
     assert len(got) == len(table)
     assert all(got[i] == (i % 4 == 0) for i in range(300, 400)) and not got[900] and not got[901]
+    want = toxic_chain([(r[0], r[1]) for r in table], [x for x in labels if x[0] is not None and x[2] is not None])
+    for r in toxicity.score_documents(d, lab).collect():
+        assert tuple(r)[1:4] == pytest.approx(want[r["doc_id"]][:3], abs=1e-5) and r["rejected"] == want[r["doc_id"]][3]
+    again = toxicity.score_documents(d.unionByName(d), lab.unionByName(lab)).collect()
+    assert len(again) == 2 * len(table) and all(r["rejected"] == got[r["doc_id"]] for r in again)
     kept = toxicity.drop_toxic(d, lab)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if not got[i])
     assert toxicity.drop_toxic(twice, lab.where("false")).count() == twice.count()
@@ -236,6 +297,15 @@ def test_toxicity(spark, docs, twice, none):
     assert toxicity.score_documents(none, lab).count() == 0
 
 
+def test_toxic_threshold():
+    """Between different scores only, highest of equal ones; equal scores are all kept."""
+    f = toxicity.best_threshold
+    assert f(np.array([3.0, 2.0, 1.0, 0.0]), np.array([True, True, False, False])) == 1.5
+    assert f(np.array([2.0, 2.0, 2.0, 0.0]), np.array([True, True, False, False])) == 1.0
+    assert f(np.array([1.0, 1.0]), np.array([True, False])) < 1.0
+    assert f(np.zeros(3), np.zeros(3, bool)) == f(np.zeros(0), np.zeros(0, bool)) == float("inf")
+
+
 def test_token_files(spark, docs, twice, none):
     assert sorted(tuple(r) for r in token_files.token_offsets(docs).collect()) == token_rows(data())[0]
     got = token_files.token_offsets(twice).collect()

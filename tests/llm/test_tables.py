@@ -8,6 +8,7 @@ import pytest
 from brute import conversation, dedup, near, targets, token_rows, vectors
 
 from strandspark.llm import queries as Q
+from strandspark.llm import toxicity
 
 
 def table(spark, sf_dir, name, *cols):
@@ -104,6 +105,18 @@ def test_toxicity(spark, sf_dir):
     assert sum(got[d] == (t == 1) for d, t in labels.items()) >= 0.95 * len(labels)
 
 
+def test_toxicity_held_out(spark):
+    """Labels of a fifth of the documents are not given; their documents are judged as the labels say."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.score_documents(docs, labels.where("doc_id % 5 <> 0")).collect()}
+    held = labels.where("doc_id % 5 = 0 AND toxic IS NOT NULL").collect()
+    right = sum(got[r["doc_id"]] == (r["toxic"] == 1) for r in held)
+    clean = [r for r in held if r["toxic"] == 0]
+    assert len(held) > 50 and right >= 0.93 * len(held)
+    assert sum(not got[r["doc_id"]] for r in clean) >= 0.97 * len(clean)
+
+
 def test_token_files(spark, sf_dir, docs):
     assert sorted(tuple(r) for r in Q.op7_token_files(spark, sf_dir).collect()) == token_rows(docs)[0]
 
