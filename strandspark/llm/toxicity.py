@@ -1,62 +1,85 @@
 """Operator 6: toxicity by a classifier chain.
 
 A chain has a linear (logistic) model per category, in a fixed order. Each later model gets the earlier categories'
-log-odds as inputs; in training these are out-of-fold predictions of ``FOLDS`` folds, so a later model learns from what an earlier one
-does on texts it has not seen. The label table has no finer categories than toxic and quality, so the query's
-chain is: toxic prose (toxic, quality 1), toxic junk (toxic, quality 0), toxic; a document is rejected by the last.
+log-odds, over those of a text without any feature, as inputs; in training these are out-of-fold predictions of ``FOLDS`` folds, so a later model learns from what an
+earlier one does on texts it has not seen. Every model of a fold has features of its own, chosen without the rows it
+predicts. The label table has no finer categories than toxic and quality, so the query's chain is: toxic prose (toxic,
+quality 1), toxic junk (toxic, quality 0), toxic; a document is rejected by the last, above the threshold with the best
+out-of-fold F1, and only if its odds are above those of a text without any feature.
 
-Inputs are the presence of a text's lower-case words and of their prefixes of 4 to 6 letters. The vocabulary comes from document
-counts of both over the training rows; scoring looks up each distinct word of every whole text.
+Inputs are the presence of a text's lower-case words (runs of letters) and of their prefixes of 4 to 6 letters. A model's features
+are those that differ between toxic and other training rows by a likelihood-ratio test (``SIGNIFICANT``), in either
+direction. Scoring splits every whole text by Arrow and looks up each distinct word once.
 
-The training rows are at most ``max_train`` labelled rows, those with the least hash of their id (documented bound;
-these labels are the only data that is broadcast, and the model has at most ``MAX_FEATURES`` weights a category).
+The training rows are at most ``max_train`` labelled documents, those with the least hash of their id (documented bound;
+these labels are the only data that is broadcast, and the features are among their words).
 
 Defined cases: null or empty text has no word and gets the models' base rates; repeated rows get equal results; labels
-that are null or refer to no document are ignored; without labels, or with labels of one kind only, no document is
-rejected; an empty table gives an empty result. Other columns are ignored.
+that are null or refer to no document are ignored; of several labels of a document, toxic holds if one says so, and
+quality 0 likewise; a null quality is 1; a document that is there several times trains once, by its least text; without
+labels, or with labels of one kind only, no document is rejected; scores equal to the threshold are not rejected; an empty
+table gives an empty result. Other columns are ignored, and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm._shared import materialize
 
 MAX_TRAIN = 20_000
-MAX_FEATURES = 6_000
 FOLDS = 5
-#: No document with lower log-odds than this is rejected, whatever the folds say.
-LEAST_ODDS = -3.0
-#: Texts whose tokens are Python objects at a time; an Arrow batch may have many times as many.
-TOGETHER = 200
-WORD = re.compile(r"[^\W\d_]+")
+#: Likelihood ratio that chance exceeds once in a thousand (chi-square, one degree of freedom); a fixed value.
+SIGNIFICANT = 10.83
+L2 = 1e-4
+#: Bytes of text whose words are Arrow arrays at a time.
+SLICE_BYTES = 4 << 20
+BETWEEN = r"[^\p{L}]+"
 PREFIXES = (4, 5, 6)
 CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct words and, marked by ^, prefixes."""
-    out = set(WORD.findall((text or "").lower()))
-    return out | {f"^{w[:n]}" for w in out for n in PREFIXES if len(w) >= n}
+def words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, and for each occurrence its text and its word."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.split_pattern_regex(low, BETWEEN)
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary.to_pylist(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), flat.indices.to_numpy()
+
+
+def names(word: str) -> tuple[str, ...]:
+    """A word's tokens: itself and, marked by ^, its prefixes."""
+    return (word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)) if word else ()
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of at most ``SLICE_BYTES``, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 # --- the linear models ----------------------------------------------------------------------------------------------
 
 
 class Sparse:
-    """Rows of active feature numbers."""
+    """Active features as pairs (row, feature), each once."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int):
+        self.row, self.col, self.n, self.width = row, col, n, width
+
+    def only(self, chosen: np.ndarray) -> Sparse:
+        ok = chosen[self.col]
+        return Sparse(self.row[ok], self.col[ok], self.n, self.width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.col], minlength=self.n)
@@ -69,142 +92,182 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Logistic regression by Adam over all rows; the result is feature weights, weights of ``extra`` and a bias."""
-    k = extra.shape[1]
-    w = np.zeros(x.width + k + 1)
-    total = weight.sum()
+def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = L2) -> np.ndarray:
+    """The minimum of the mean logistic loss plus ``l2`` / 2 times the squared weights, by Newton steps whose systems
+    conjugate gradients solve; the result is feature weights, weights of ``extra`` and a bias (not shrunk)."""
+    k, n, total = extra.shape[1], x.width, weight.sum()
+    w = np.zeros(n + k + 1)
     if not total or not y[weight > 0].any() or y[weight > 0].all():
         w[-1] = 30.0 if total and y[weight > 0].all() else -30.0
         return w
-    rate = float((y * weight).sum() / total)
+    weight, shrink = weight / total, np.r_[np.full(n + k, l2), 0.0]
+    rate = float(y @ weight)
     w[-1] = np.log(rate / (1 - rate))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        p = _sigmoid(x.dot(w[: x.width]) + extra @ w[x.width : -1] + w[-1])
-        g = (p - y) * weight / total
-        grad = np.concatenate([x.dot_t(g) + l2 * w[: x.width], extra.T @ g + l2 * w[x.width : -1], [g.sum()]])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+
+    def up(v: np.ndarray) -> np.ndarray:
+        return x.dot(v[:n]) + extra @ v[n:-1] + v[-1]
+
+    def down(g: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.dot_t(g), extra.T @ g, [g.sum()]])
+
+    def loss(v: np.ndarray, z: np.ndarray) -> float:
+        return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * (shrink * v) @ v)
+
+    z = up(w)
+    value = loss(w, z)
+    for _ in range(100):
+        p = _sigmoid(z)
+        slope = down(weight * (p - y)) + shrink * w
+        steep = float(np.linalg.norm(slope))
+        if steep < 1e-7:
+            break
+        curve = weight * p * (1 - p)
+        step, left = np.zeros_like(w), -slope
+        to, size = left.copy(), float(left @ left)
+        enough = min(0.1, steep**0.5) ** 2 * size
+        for _ in range(200):
+            bent = down(curve * up(to)) + (shrink + 1e-9) * to
+            by = size / float(to @ bent)
+            step, left = step + by * to, left - by * bent
+            now = float(left @ left)
+            if now < enough:
+                break
+            to, size = left + now / size * to, now
+        far, dz, down_by = 1.0, up(step), float(slope @ step)
+        while far > 1e-6 and loss(w + far * step, z + far * dz) > value + 1e-4 * far * down_by:
+            far /= 2
+        w, z = w + far * step, z + far * dz
+        value = loss(w, z)
     return w
 
 
-def _score(x: Sparse, extra: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x.dot(w[: x.width]) + extra @ w[x.width : -1] + w[-1], -12, 12)
+def _lift(x: Sparse, extra: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-odds over those of a text without any feature. The base rate, which differs between the folds and would tell
+    a held-out row's label, is left out."""
+    return np.clip(x.dot(w[: x.width]) + extra @ w[x.width : -1], -12, 12)
+
+
+def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
+    """Midway between two neighbouring different scores, where rejecting what is above has the best F1; of equal ones the highest."""
+    if not y.any() or y.all():
+        return float("inf")
+    order = np.argsort(-odds, kind="stable")
+    score = odds[order]
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + y.sum())
+    next_score = np.append(score[1:], score[-1] - 2)
+    at = int(np.argmax(np.where(score > next_score, f1, -1)))
+    return float(score[at] + next_score[at]) / 2
 
 
 class Chain:
     def __init__(self, vocabulary: dict[str, int], weights: list[np.ndarray], threshold: float):
         self.vocabulary, self.weights, self.threshold = vocabulary, weights, threshold
-        self.known: dict[str, tuple[int, ...]] = {}
 
     @classmethod
-    def fit(cls, vocabulary: dict[str, int], rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        x = Sparse(rows, len(vocabulary))
-        extra = np.zeros((x.n, 0))
-        weights, out = [], np.zeros(x.n)
-        for j in range(labels.shape[1]):
-            y = labels[:, j].astype(float)
+    def fit(cls, vocabulary: dict[str, int], chosen: np.ndarray, x: Sparse, labels: np.ndarray, fold: np.ndarray) -> Chain:
+        """``chosen``: features of the models without fold 0, 1, ... and of the final models, a row each."""
+        extra, out, weights = np.zeros((x.n, 0)), np.zeros(x.n), []
+        views = [x.only(c) for c in chosen]
+        for y in labels.T.astype(float):
             out = np.zeros(x.n)
             for f in range(FOLDS):
                 held = fold == f
                 if held.any():
-                    out[held] = _score(x, extra, fit_linear(x, extra, y, (~held).astype(float)))[held]
-            weights.append(fit_linear(x, extra, y, np.ones(x.n)))
+                    out[held] = _lift(views[f], extra, fit_linear(views[f], extra, y, (~held).astype(float)))[held]
+            weights.append(fit_linear(views[FOLDS], extra, y, np.ones(x.n)))
             extra = np.column_stack([extra, out])
-        # the threshold with the best out-of-fold F1 of the last category, midway between the scores around it
-        y, best, threshold = labels[:, -1].astype(bool), -1.0, 0.0
-        order = np.argsort(-out, kind="stable")
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
-        if len(y) and y.any() and not y.all():
-            at = int(np.argmax(f1))
-            threshold = max(LEAST_ODDS, float(out[order[at]] + out[order[min(at + 1, len(y) - 1)]]) / 2)
-        else:
-            threshold = float("inf")
-        return cls(vocabulary, weights, threshold)
-
-    def features(self, text: str | None) -> np.ndarray:
-        known, out = self.known, set()
-        for w in set(WORD.findall((text or "").lower())):
-            got = known.get(w)
-            if got is None:
-                names = (w, *(f"^{w[:n]}" for n in PREFIXES if len(w) >= n))
-                got = tuple(self.vocabulary[n] for n in names if n in self.vocabulary)
-                if len(known) > 500_000:
-                    known.clear()
-                known[w] = got
-            if got:
-                out.update(got)
-        return np.array(sorted(out), np.int64)
-
-    def predict(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        return cls(vocabulary, weights, max(0.0, best_threshold(out, labels[:, -1].astype(bool))))
+
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (rows x categories) and the rejections."""
-        x = Sparse([self.features(t) for t in texts], len(self.vocabulary))
+        distinct, row, word = words(texts)
+        found = [[self.vocabulary[t] for t in names(w) if t in self.vocabulary] for w in distinct]
+        size = np.array([len(f) for f in found], np.int64)
+        row, word = row[size[word] > 0], word[size[word] > 0]
+        flat, start = np.array([c for f in found for c in f], np.int64), np.cumsum(size) - size
+        each = size[word]
+        at = np.arange(int(each.sum())) + np.repeat(start[word] - (np.cumsum(each) - each), each)
+        width = len(self.vocabulary)
+        pair = np.unique(np.repeat(row, each) * max(width, 1) + flat[at])
+        x = Sparse(pair // max(width, 1), pair % max(width, 1), len(texts), width)
         extra = np.zeros((x.n, 0))
         for w in self.weights:
-            extra = np.column_stack([extra, _score(x, extra, w)])
-        if not self.weights:
-            return extra, np.zeros(x.n, bool)
-        return _sigmoid(extra), extra[:, -1] > self.threshold
-
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "weights": self.weights, "threshold": self.threshold, "known": {}}
+            extra = np.column_stack([extra, _lift(x, extra, w)])
+        return _sigmoid(extra + [w[-1] for w in self.weights]), extra[:, -1] > self.threshold
 
 
 # --- training over tables -------------------------------------------------------------------------------------------
 
 
-def _vocabulary(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
-    """Tokens that are far more frequent in toxic rows; counts are pre-aggregated before the shuffle."""
-    toxic = F.col("toxic") == 1
-    counts = train.select(toxic.alias("t"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("t").alias("a"), F.count_if(~F.col("t")).alias("b"))
-    ratio = ((F.col("a") + 0.1) / max(n_toxic, 1)) / ((F.col("b") + 1.0) / max(n_clean, 1))
-    best = counts.where("a >= 2").withColumn("gain", F.col("a") * F.log(ratio)).where(ratio > 2).orderBy(F.desc("gain"), "token").limit(MAX_FEATURES)
-    return {r["token"]: i for i, r in enumerate(best.select("token").collect())}
+def _features(train: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the tokens that a model uses, and which model does. Counts by fold are pre-aggregated before the shuffle;
+    a fold's model sees the counts of the other folds."""
+    toxic, folds = F.col("toxic") == 1, range(FOLDS)
+    by = [F.count_if((F.col("fold") == f) & t).alias(f"{k}{f}") for k, t in (("a", toxic), ("b", ~toxic)) for f in folds]
+    totals = train.agg(*by).first()
+    counts = train.select("fold", "toxic", F.explode("tokens").alias("token")).groupBy("token").agg(*by)
 
+    def chosen(left_out: int) -> Column:
+        used = [f for f in folds if f != left_out]
+        n_a, n_b = (sum(totals[f"{k}{f}"] for f in used) for k in "ab")
+        a, b = (sum((F.col(f"{k}{f}") for f in used), F.lit(0)) for k in "ab")
+        part = lambda v: F.when(v > 0, v * F.ln(v.cast("double"))).otherwise(0.0)
+        ratio = part(a) + part(b) + part(n_a - a) + part(n_b - b) - part(a + b) - part(n_a + n_b - a - b) - part(F.lit(n_a)) - part(F.lit(n_b)) + part(F.lit(n_a + n_b))
+        return 2 * ratio >= SIGNIFICANT
 
-def _converted(batches: Iterator[pa.RecordBatch], column: str, name: str, kind: pa.DataType, f) -> Iterator[pa.RecordBatch]:
-    """The batches, ``TOGETHER`` rows at a time, with ``f`` of the last column in its place."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
-            new = pa.array([f(v) for v in part.column(column).to_pylist()], kind)
-            kept = [n for n in part.schema.names if n != column]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), new], names=[*kept, name])
+    marks = F.array(*[chosen(f) for f in range(FOLDS + 1)])
+    rows = counts.select("token", marks.alias("m")).where(F.exists("m", lambda m: m)).orderBy("token").collect()
+    return {r["token"]: i for i, r in enumerate(rows)}, np.array([r["m"] for r in rows], bool).reshape(-1, FOLDS + 1).T
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", max_train: int = MAX_TRAIN) -> Chain:
-    sample = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "toxic", F.coalesce("quality", F.lit(1)).alias("quality"))
+    given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
+    sample = given.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     sample = sample.orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "toxic", "quality").agg(F.min("text").alias("text"))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _converted(batches, "text", "tokens", pa.list_(pa.string()), lambda t: sorted(tokens(t)))
-
-    train = materialize(rows.select("id", "toxic", "quality", "text").mapInArrow(tokenised, "id bigint, toxic int, quality int, tokens array<string>"), "toxicity-train")
-    by = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    n_toxic = by.get(1, 0)
-    vocabulary = _vocabulary(train, n_toxic, sum(by.values()) - n_toxic)
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column("text")):
+                distinct, row, word = words(texts)
+                known = [names(w) for w in distinct]
+                pair = np.unique(row * len(known) + word) if len(row) else np.zeros(0, np.int64)
+                sets: list[set[str]] = [set() for _ in range(len(texts))]
+                for r, w in zip((pair // max(len(known), 1)).tolist(), (pair % max(len(known), 1)).tolist()):
+                    sets[r].update(known[w])
+                part = batch.slice(at, len(texts))
+                kept = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array([sorted(s) for s in sets], pa.list_(pa.string()))], names=[*kept, "tokens"])
+                at += len(texts)
+
+    fold = F.pmod(F.xxhash64(F.lit(66), "id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = rows.select(F.col("id").cast("bigint"), F.col("toxic").cast("int"), F.col("quality").cast("int"), fold, "text")
+    train = materialize(rows.mapInArrow(tokenised, "id bigint, toxic int, quality int, fold int, tokens array<string>"), "toxicity-train")
+    vocabulary, chosen = _features(train)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _converted(batches, "tokens", "x", pa.list_(pa.int32()), lambda ts: sorted(vocabulary[t] for t in ts if t in vocabulary))
+        for batch in batches:
+            x = pa.array([sorted(vocabulary[t] for t in ts if t in vocabulary) for ts in batch.column("tokens").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "toxic", "quality", "fold")), x], names=["id", "toxic", "quality", "fold", "x"])
 
-    got = train.mapInArrow(encoded, "id bigint, toxic int, quality int, x array<int>").orderBy("id").collect()
+    got = train.mapInArrow(encoded, "id bigint, toxic int, quality int, fold int, x array<int>").orderBy("id").collect()
     toxic, good = np.array([r["toxic"] == 1 for r in got], bool), np.array([r["quality"] != 0 for r in got], bool)
-    fold = np.array([(r["id"] * 2654435761 >> 7) % FOLDS for r in got], np.int64)
-    return Chain.fit(vocabulary, [np.array(r["x"], np.int64) for r in got], np.column_stack([toxic & good, toxic & ~good, toxic]).reshape(-1, 3), fold)
+    x = Sparse(np.repeat(np.arange(len(got)), [len(r["x"]) for r in got]), np.array([c for r in got for c in r["x"]], np.int64), len(got), len(vocabulary))
+    return Chain.fit(vocabulary, chosen, x, np.column_stack([toxic & good, toxic & ~good, toxic]).reshape(-1, len(CATEGORIES)), np.array([r["fold"] for r in got], np.int64))
 
 
 def scores(chain: Chain, text: Column) -> Column:
     """Struct of the category probabilities and ``rejected``."""
-    fields = ", ".join(f"p_{c} double" for c in CATEGORIES)
-
-    @F.pandas_udf(f"{fields}, rejected boolean")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        parts = [chain.predict(texts[i : i + TOGETHER]) for i in range(0, max(1, len(texts)), TOGETHER)]
-        p, rejected = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({**{f"p_{c}": p[:, i] for i, c in enumerate(CATEGORIES)}, "rejected": rejected})
+    fields = [f"p_{c}" for c in CATEGORIES]
+
+    @F.arrow_udf(", ".join(f"{f} double" for f in fields) + ", rejected boolean")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [chain.predict(part) for part in slices(texts)]
+        p = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, len(fields)))
+        rejected = np.concatenate([r for _, r in parts]) if parts else np.zeros(0, bool)
+        return pa.StructArray.from_arrays([*(pa.array(p[:, i]) for i in range(len(fields))), pa.array(rejected)], names=[*fields, "rejected"])
 
     return scored(text)
 
