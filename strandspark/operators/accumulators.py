@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Number, sum, mean, least and greatest of the values that are not null; without one all but the number are null."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def count_items(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def key_range(df: DataFrame, key: str) -> DataFrame:
+    """One row: least and greatest key, null without rows."""
+    return df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+
+
 def across_parts(df: DataFrame, by: list[str], part: str, value: str, kind: str) -> DataFrame:
     """Sums within parts, then the minimum or maximum of them: ``kind`` is min or max."""
     sums = df.groupBy(*by, part).agg(F.sum(value).alias("_s"))

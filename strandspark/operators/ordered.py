@@ -1,4 +1,8 @@
-"""Operators over rows in a given order: distances, runs, intervals, merges, sorts and partitions."""
+"""Operators over rows in a given order: distances, runs, intervals, merges, sorts and partitions.
+
+``large_groups`` is for groups that one task cannot sort, such as a chromosome: rows are dealt to ranges of the order, which
+carry what the rows before them add up to (see :mod:`strandspark.operators.positions`); the rows are written once or twice.
+"""
 
 from __future__ import annotations
 
@@ -18,30 +22,50 @@ def distances(df: DataFrame, by: list[str], order: list[str], value: str, name:
     return df.withColumn(name, F.col(value) - F.lag(value).over(w)).where(F.col(name).isNotNull())
 
 
-def unsorted_rows(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def unsorted_rows(df: DataFrame, by: list[str], order: list[str], value: str, large_groups: bool = False) -> DataFrame:
     """Rows whose value is less than the one before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("previous", F.lag(value).over(w)).where(F.col(value) < F.col("previous"))
+    if large_groups:
+        near = positions.with_previous(df, by, order, value, "previous")
+    else:
+        near = df.withColumn("previous", F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
+    return near.where(F.col(value) < F.col("previous"))
 
 
-def run_numbers(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "run") -> DataFrame:
+def run_numbers(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "run", large_groups: bool = False) -> DataFrame:
     """Number the runs of equal neighbouring values."""
+    if large_groups:
+        # a box tells a null value from no row before
+        boxed = df.withColumn("_value", F.struct(F.col(value).alias("v")))
+        near = positions.with_previous(boxed, by, order, "_value", "_before")
+        change = F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))
+        return positions.running(near.withColumn("_new", change.cast("int")).drop("_value", "_before"), by, order, "_new", name).drop("_new")
     w = Window.partitionBy(*by).orderBy(*order)
     change = (~F.col(value).eqNullSafe(F.lag(value).over(w))) | (F.row_number().over(w) == 1)
     return df.withColumn("_new", change.cast("int")).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def run_lengths(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def run_lengths(df: DataFrame, by: list[str], order: list[str], value: str, large_groups: bool = False) -> DataFrame:
     """One row per run of equal neighbouring values, with its length."""
-    return run_numbers(df, by, order, value).groupBy(*by, "run", value).agg(F.count("*").alias("n"))
+    return run_numbers(df, by, order, value, large_groups=large_groups).groupBy(*by, "run", value).agg(F.count("*").alias("n"))
 
 
-def merge_intervals(df: DataFrame, by: list[str], begin: str, end: str) -> DataFrame:
-    """Half-open intervals merged where they overlap; touching ones stay apart."""
-    w = Window.partitionBy(*by).orderBy(begin, end)
+def _islands(df: DataFrame, by: list[str], order: list[str], begin: str, end: str, touch: bool, large_groups: bool) -> DataFrame:
+    """Add ``_island``: rows are in one with the rows before that reach them, with ``touch`` also those that end where they begin."""
+    apart = (lambda reach: F.col(begin) > reach) if touch else (lambda reach: F.col(begin) >= reach)
+    if large_groups:
+        reached = positions.running(df, by, order, end, "_reach", "max", before=True)
+        marked = reached.withColumn("_new", F.when(apart(F.col("_reach")) | F.col("_reach").isNull(), 1).otherwise(0)).drop("_reach")
+        # of rows that are equal in the order the one that opens an island has to be first again
+        return positions.running(marked, by, [*order, F.desc("_new")], "_new", "_island").drop("_new")
+    w = Window.partitionBy(*by).orderBy(*order)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("_new", F.when(F.col(begin) < reach, 0).otherwise(1)).withColumn("_island", island)
+    marked = df.withColumn("_new", F.when(apart(reach) | reach.isNull(), 1).otherwise(0))
+    return marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def merge_intervals(df: DataFrame, by: list[str], begin: str, end: str, large_groups: bool = False) -> DataFrame:
+    """Half-open intervals merged where they overlap; touching ones stay apart."""
+    marked = _islands(df, by, [begin, end], begin, end, False, large_groups)
     return marked.groupBy(*by, "_island").agg(F.min(begin).alias(begin), F.max(end).alias(end)).drop("_island")
 
 
@@ -70,8 +94,9 @@ def merge_projected(left: DataFrame, right: DataFrame, key: str, stop_at: int |
     ``stop_at`` on, a side contributes nothing more."""
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     if stop_at is not None:
-        w = Window.partitionBy("side").orderBy("idx")
-        both = both.withColumn("_stop", F.max((F.col(key) >= stop_at).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_stop = 0").drop("_stop")
+        # a row a side: where it stops
+        stops = both.where(F.col(key) >= stop_at).groupBy("side").agg(F.min("idx").alias("_stop"))
+        both = both.join(F.broadcast(stops), "side", "left").where("_stop IS NULL OR idx < _stop").select(*left.columns, "side")
     return both.orderBy(key, F.desc("side"), "idx")
 
 
@@ -94,14 +119,11 @@ def rank_before(df: DataFrame, by: list[str], order: list[str], name: str = "ran
     return positions.numbered(df, order, name, by).withColumn(name, F.col(name) - 1)
 
 
-def fold_adjacent(df: DataFrame, by: list[str], order: list[str], begin: str, end: str, parts: list[str]) -> DataFrame:
+def fold_adjacent(df: DataFrame, by: list[str], order: list[str], begin: str, end: str, parts: list[str], large_groups: bool = False) -> DataFrame:
     """Chains of rows in which each begins where the last kept one ended; rows that overlap the last kept one are skipped.
     Whether a row is kept depends on the kept one before, so rows are folded in order. A row that begins beyond all ends before
     it depends on none of them: groups are cut there, and only rows that touch or overlap are listed together."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = df.withColumn("_new", F.when(F.col(begin) <= reach, 0).otherwise(1))
-    cut = cut.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    cut = _islands(df, by, order, begin, end, True, large_groups)
     item = F.struct(*order, F.col(begin).alias("_b"), F.col(end).alias("_e"), *parts)
     schema = df.select(item.alias("x")).schema["x"].dataType.simpleString()
     listed = cut.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(item)).alias("_rows"))

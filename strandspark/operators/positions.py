@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 _RANGE = "_range"
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the folder of ``spark.checkpoint.dir``. Where that is unset, as in tests, a local session sets a folder of its
+    own; a cluster's executors would not reach such a folder, so there it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandspark-"))
     return df.checkpoint()
 
 
 def _ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _checkpointed(df.repartitionByRange(n, *order).withColumn(_RANGE, F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(n, *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
 def _with_summary(ranged: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
@@ -58,3 +62,22 @@ def with_previous(df: DataFrame, by: list[str], order: list[str], value: str, na
     inside = ranged.withColumn("_box", F.lag(boxed).over(Window.partitionBy(_RANGE, *by).orderBy(*order)))
     out = _with_summary(inside, summary, by).withColumn(name, F.coalesce("_box", "_carried")["v"])
     return out.drop("_box", "_carried", _RANGE)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], value: str, name: str, kind: str = "sum", before: bool = False) -> DataFrame:
+    """Add the sum or maximum (``kind``) of a value over the rows of the group up to each row, that row included or, with ``before``,
+    not; null where there is none. For groups too large for a task."""
+    aggregate = {"sum": F.sum, "max": F.max}[kind]
+    ranged = _ranged(df, [*by, *order])
+    parts = ranged.groupBy(*by, _RANGE).agg(aggregate(value).alias("_part"))
+    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    summary = parts.withColumn("_carried", aggregate("_part").over(earlier)).drop("_part")
+    w = Window.partitionBy(_RANGE, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    out = _with_summary(ranged.withColumn("_inside", aggregate(value).over(w)), summary, by)
+    both = F.greatest("_inside", "_carried") if kind == "max" else F.coalesce(F.col("_inside") + F.col("_carried"), F.col("_inside"), F.col("_carried"))
+    return out.withColumn(name, both).drop("_inside", "_carried", _RANGE)
+
+
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Add the sum of a value over the whole table up to and with each row."""
+    return running(df, [], order, value, name)
