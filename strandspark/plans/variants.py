@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.operators import ordered, positions
@@ -24,6 +24,11 @@ def zygosity(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.exists("samples", lambda s: F.size(F.filter(s["gt"], lambda g: F.coalesce(g["alt"] > 0, F.lit(False)))) == k))
 
 
+def sample_list(spark, path: str) -> list[str]:
+    """Sample names of a text file, one a line."""
+    return [r["value"].strip() for r in spark.read.text(path).where("trim(value) <> ''").toLocalIterator()]
+
+
 def select_samples(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Keep or leave out samples by name; columns stay in file order. Neither list: all samples."""
     if include is None and exclude is None:
@@ -59,15 +64,33 @@ def drop_with_info(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fill_missing_ids(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """Missing IDs become prefix and a running number in the given order."""
-    numbered = positions.numbered(df.withColumn("_missing", F.col("ids").isNull()), order, "_n", ["_missing"])
-    made = F.array(F.concat(F.lit(prefix), F.col("_n").cast("string")))
-    return numbered.withColumn("ids", F.when(F.col("_missing"), made).otherwise(F.col("ids"))).drop("_missing", "_n")
+    """Missing IDs become prefix and a running number in the given order; records that are equal in it are ordered by REF and
+    ALTs. Numbers run over a table of places and counts; only records without an ID are joined to it."""
+    missing = df.where("ids IS NULL")
+    places = missing.groupBy(*order).agg(F.count("*").alias("_count"))
+    starts = positions.running_sum(places, list(order), "_count", "_upto").select(*[F.col(c).alias(f"_of_{c}") for c in order], (F.col("_upto") - F.col("_count")).alias("_start"))
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(f"_of_{c}").eqNullSafe(F.col(c))
+    inside = F.row_number().over(Window.partitionBy(*order).orderBy("ref", "alts"))
+    numbered = missing.join(starts, same).withColumn("_in", inside)
+    made = numbered.withColumn("ids", F.array(F.concat(F.lit(prefix), (F.col("_start") + F.col("_in")).cast("string")))).select(*df.columns)
+    return df.where("ids IS NOT NULL").unionByName(made)
 
 
 def in_bed(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Records whose position is in a region of the same chromosome."""
-    return ordered.in_regions(df, ordered.merge_intervals(regions, ["chrom"], "begin", "end"), "chrom", F.col("pos") - 1)
+    return ordered.in_regions(df, ordered.merge_intervals(regions, ["chrom"], "begin", "end", large_groups=True), "chrom", F.col("pos") - 1)
+
+
+def region_counts(df: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row: records, those on a chromosome that no region is on, and those on others whose position is in none."""
+    merged = ordered.merge_intervals(regions, ["chrom"], "begin", "end", large_groups=True)
+    known = merged.select(F.col("chrom").alias("_known")).distinct()
+    inside = ordered.in_regions(df, merged, "chrom", F.col("pos") - 1).agg(F.count("*").alias("_in"))
+    seen = df.join(known, F.col("chrom") == F.col("_known"), "left").agg(F.count("*").alias("records"), F.count_if(F.col("_known").isNull()).alias("chrom_mismatches"))
+    one = seen.crossJoin(F.broadcast(inside))  # a row each
+    return one.select("records", "chrom_mismatches", (F.col("records") - F.col("chrom_mismatches") - F.col("_in")).alias("position_mismatches"))
 
 
 def cat(df: DataFrame, *, chrom: str | None = None, regions: DataFrame | None = None, snps: bool = False, missing_id_prefix: str | None = None, include=None, exclude=None, zygosity_k: int | None = None, info: list[str] | None = None, omit_info: bool = False, formats: list[str] | None = None, order=("chrom", "pos")) -> DataFrame:
@@ -109,12 +132,31 @@ def phase_sets(df: DataFrame, chrom: str) -> DataFrame:
     return s.select("pos", F.col("s.name").alias("sample"), F.col("s.fields")["PS"].try_cast("int").alias("ps"))
 
 
-def private_variants(df: DataFrame, group: list[str]) -> DataFrame:
-    """(chrom, pos, alt): ALT alleles that samples of the group have and no other sample has."""
+def phase_set_counts(df: DataFrame, chrom: str) -> DataFrame:
+    """By sample, records of the chromosome with and without a phase set."""
+    return phase_sets(df, chrom).groupBy("sample").agg(F.count("ps").alias("set"), F.count_if(F.col("ps").isNull()).alias("unset"))
+
+
+def _private(group: list[str]) -> Column:
+    """ALT alleles of a record that samples of the group have and no other sample has."""
     names = F.array(*[F.lit(n) for n in group])
-    s = df.select("chrom", "pos", F.explode("samples").alias("s")).select("chrom", "pos", F.array_contains(names, F.col("s.name")).alias("inside"), F.explode("s.gt.alt").alias("alt")).where("alt > 0")
-    per = s.groupBy("chrom", "pos", "alt").agg(F.bool_and("inside").alias("private"))
-    return per.where("private").drop("private")
+    of = lambda inside: F.flatten(F.transform(F.filter("samples", lambda s: F.array_contains(names, s["name"]) == F.lit(inside)), lambda s: F.transform(s["gt"], lambda g: g["alt"])))
+    return F.array_sort(F.array_except(F.filter(of(True), lambda a: a > 0), of(False)))
+
+
+def private_variants(df: DataFrame, group: list[str]) -> DataFrame:
+    """(chrom, pos, alt): ALT alleles of each record that samples of the group have and no other sample has; no shuffle."""
+    return df.select("chrom", "pos", F.explode(_private(group)).alias("alt"))
+
+
+def private_counts(df: DataFrame, group: list[str]) -> DataFrame:
+    """(chrom, pos, n): how many each record has."""
+    return df.select("chrom", "pos", F.size(_private(group)).cast("bigint").alias("n"))
+
+
+def private_total(df: DataFrame, group: list[str]) -> DataFrame:
+    """One row: how many all records have."""
+    return private_counts(df, group).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 #: Colours of alleles in the genotype image: null, REF, then ALTs.
@@ -130,22 +172,49 @@ def genotype_cells(df: DataFrame, order: list[str]) -> DataFrame:
     return s.select("record", F.struct("si", "copy").alias("row"), F.col("g.alt").alias("allele"), rgb.alias("rgb"))
 
 
+def write_image(df: DataFrame, order: list[str], path: str, most_cells: int = 1 << 26) -> tuple[int, int]:
+    """Write the genotype cells as a TIFF file with a palette, a column per record and a row per copy; returns (columns, rows).
+    An image is one file, so the driver draws it, from one byte a cell; beyond ``most_cells`` that is an error."""
+    import struct
+
+    numbered = positions.numbered(df, order, "record")
+    cells = numbered.select("record", F.flatten(F.transform("samples", lambda s: F.transform(s["gt"], lambda g: F.least(F.coalesce(g["alt"] + 1, F.lit(0)), F.lit(len(PALETTE) - 1)).cast("int")))).alias("x"))
+    width, height = cells.agg(F.count("*").alias("w"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("h")).first()
+    if width * height > most_cells:
+        raise ValueError(f"an image of {width} x {height} cells is too large for one file")
+    pixels = [bytearray(width) for _ in range(height)]
+    for r in cells.toLocalIterator():
+        for y, x in enumerate(r["x"]):
+            pixels[y][r["record"] - 1] = x
+    rgb = [tuple(int(c[i : i + 2], 16) * 257 for i in (1, 3, 5)) for c in PALETTE] + [(0, 0, 0)] * (256 - len(PALETTE))
+    data, palette = b"".join(bytes(p) for p in pixels), struct.pack("<768H", *(c[i] for i in range(3) for c in rgb))
+    at = 8 + len(data)
+    # Tags of the format, with their types (3: 16 bits, 4: 32 bits), counts and values
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 3), (273, 4, 1, 8), (277, 3, 1, 1), (278, 4, 1, max(height, 1)), (279, 4, 1, len(data)), (320, 3, 768, at)]
+    with open(path, "wb") as f:
+        f.write(struct.pack("<2sHI", b"II", 42, at + len(palette)) + data + palette + struct.pack("<H", len(tags)))
+        f.write(b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0))
+    return width, height
+
+
 # --- against a reference ---------------------------------------------------------------------------------------------------
 
 CHUNK = 1 << 16
 
 
 def chunks(sequences: DataFrame) -> DataFrame:
-    """(chrom, bin, seq): reference sequences (id, seq) in pieces that overlap by one, white space and gaps removed."""
+    """(chrom, bin, chunk): reference sequences (id, seq) in pieces of ``CHUNK`` bases, white space and gaps removed. A sequence is
+    divided in one pass."""
     clean = sequences.select(F.col("id").alias("chrom"), F.upper(F.regexp_replace("seq", r"[\s-]", "")).alias("seq"))
-    bins = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / CHUNK))).alias("bin")
-    return clean.select("chrom", "seq", bins).select("chrom", "bin", F.substr("seq", (F.col("bin") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("chunk"))
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return clean.select("chrom", F.posexplode(pieces).alias("bin", "chunk")).withColumn("bin", F.col("bin").cast("bigint"))
 
 
 def reference_bases(df: DataFrame, sequences: DataFrame, pos0: Column, length: Column, name: str) -> DataFrame:
-    """Add the reference's bases at a 0-based position, by an equi-join on (chrom, bin); null outside of it."""
-    spans = F.sequence(F.floor(pos0 / CHUNK), F.floor((pos0 + F.greatest(length, F.lit(1)) - 1) / CHUNK))
-    keyed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", pos0).withColumn("_n", length).where(F.lit(True))
+    """Add the reference's bases at a 0-based position, by an equi-join on (chrom, bin); null outside of it. Records are numbered
+    in a written table, so that a number means the same record wherever it is read."""
+    spans = F.sequence(F.floor(F.col("_p") / CHUNK), F.floor((F.col("_p") + F.greatest(F.col("_n"), F.lit(1)) - 1) / CHUNK))
+    keyed = positions.checkpointed(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", pos0).withColumn("_n", length))
     parts = keyed.where("_p >= 0").select("_id", F.col("chrom").alias("_c"), "_p", "_n", F.explode(spans).alias("_b"))
     ref = chunks(sequences)
     hit = parts.join(ref, (F.col("_c") == ref["chrom"]) & (F.col("_b") == ref["bin"]))
@@ -155,13 +224,25 @@ def reference_bases(df: DataFrame, sequences: DataFrame, pos0: Column, length: C
     return keyed.join(bases, "_id", "left").drop("_id", "_p", "_n")
 
 
+def with_expected(df: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Add ``expected``: what the reference has in REF's place (null where it has no such place)."""
+    return reference_bases(df, sequences, F.col("pos") - 1, F.length("ref"), "expected")
+
+
 def check_reference(df: DataFrame, sequences: DataFrame, chrom: str | None = None) -> DataFrame:
     """Records whose REF differs from the reference (null where it has no such place)."""
-    df = df if chrom is None else df.where(F.col("chrom") == chrom)
-    at = reference_bases(df, sequences, F.col("pos") - 1, F.length("ref"), "expected")
+    at = with_expected(df if chrom is None else df.where(F.col("chrom") == chrom), sequences)
     return at.where(~F.col("ref").eqNullSafe(F.col("expected"))).select("chrom", "pos", "ref", "expected")
 
 
+def reference_counts(df: DataFrame, sequences: DataFrame, chrom: str | None = None) -> DataFrame:
+    """One row by chromosome: records, those whose REF is the reference's, and those whose is not. Records of chromosomes other than
+    ``chrom`` are counted as such: checked is false and nothing else is counted."""
+    checked = F.lit(True) if chrom is None else F.col("chrom") == chrom
+    at = with_expected(df, sequences).withColumn("checked", checked).withColumn("_same", F.col("ref").eqNullSafe(F.col("expected")))
+    return at.groupBy("chrom", "checked").agg(F.count("*").alias("records"), F.count_if(F.col("checked") & F.col("_same")).alias("matches"), F.count_if(F.col("checked") & ~F.col("_same")).alias("mismatches"))
+
+
 def convert_deletions(df: DataFrame, sequences: DataFrame) -> DataFrame:
     """Records with a <DEL>: the base before is set in front of REF and ALTs and the position moves by one, or, at the first
     base, the base after is appended. Other structural types are an error."""
@@ -183,7 +264,7 @@ def concatenate(df: DataFrame, sequences: DataFrame) -> DataFrame:
     allele = F.element_at("samples", 1)["gt"][0]["alt"]
     alt = F.when(allele > 0, F.element_at("alts", allele.cast("int"))["alt"])
     rows = df.withColumn("alt", alt).where("alt IS NOT NULL AND alt <> ref").select("chrom", "ref", "alt", (F.col("pos") - 1).alias("begin"), (F.col("pos") - 1 + F.length("ref")).alias("end"))
-    folded = ordered.fold_adjacent(rows.withColumn("at", F.col("begin")), ["chrom"], ["at", "ref", "alt"], "begin", "end", [])
+    folded = ordered.fold_adjacent(rows.withColumn("at", F.col("begin")), ["chrom"], ["at", "ref", "alt"], "begin", "end", [], large_groups=True)
     part = F.struct("at", "ref", "alt")
     joined = folded.groupBy("chrom", "chain").agg(F.min("begin").alias("begin"), F.array_sort(F.collect_list(part)).alias("p"))
     text = lambda k: F.array_join(F.transform("p", lambda x: x[k]), "")
@@ -193,25 +274,38 @@ def concatenate(df: DataFrame, sequences: DataFrame) -> DataFrame:
     return at.select("chrom", F.when(anchor, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), F.when(anchor, F.concat("_base", "ref")).otherwise(F.col("ref")).alias("ref"), F.when(anchor, F.col("_base")).otherwise(F.col("alt")).alias("alt"))
 
 
+#: Copies in a word of bits; all of them are non-negative.
+_WORD = 62
+
+
 # --- merging -------------------------------------------------------------------------------------------------------------
 
 
 def merge_records(df: DataFrame, skip_info: list[str] | None = None) -> DataFrame:
     """Genotypes of records with equal (chrom, pos, ref, alt) merged: a copy carries the allele if any record says so. In
-    unphased samples alleles are sorted, 0 first; records that differ in phase or ploidy are an error. Null alleles are 0."""
+    unphased samples alleles are sorted, 0 first; records that differ in samples, phase or ploidy are an error. Null alleles are 0.
+
+    A record's copies are bits, ``_WORD`` of them a word, and words are merged by OR before the shuffle; the samples' names,
+    phases and ploidies go once a record, as the least and the greatest, which have to be equal."""
     if skip_info:
         df = drop_with_info(df, skip_info)
-    one = df.select("chrom", "pos", "ref", F.posexplode("alts.alt").alias("ai", "alt"), "samples").withColumn("s", F.explode("samples"))
-    gt = F.transform("s.gt", lambda g: F.when(g["alt"] == F.col("ai") + 1, 1).otherwise(0))
-    phased = F.exists(F.slice(F.col("s.gt"), F.lit(2), F.greatest(F.size("s.gt") - 1, F.lit(0))), lambda g: g["phased"])
-    flat = one.select("chrom", "pos", "ref", "alt", F.col("s.name").alias("name"), F.when(phased, gt).otherwise(F.array_sort(gt)).alias("gt"), phased.alias("phased"), F.size("s.gt").alias("ploidy"))
-    key = ["chrom", "pos", "ref", "alt", "name"]
-    agree = flat.groupBy(*key).agg(F.min("phased").alias("lo"), F.max("phased").alias("phased"), F.min("ploidy").alias("few"), F.max("ploidy").alias("many"))
-    agree = agree.withColumn("phased", F.when((F.col("lo") != F.col("phased")) | (F.col("few") != F.col("many")), F.raise_error(F.lit("merged records differ in phase or ploidy")).cast("boolean")).otherwise(F.col("phased")))
-    copies = flat.select(*key, F.posexplode("gt").alias("copy", "x")).groupBy(*key, "copy").agg(F.max("x").alias("x"))
-    merged = copies.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "x"))), lambda p: p["x"]).alias("gt")).join(agree.select(*key, "phased"), key)
-    sample = F.struct("name", "gt", "phased")
-    return merged.groupBy("chrom", "pos", "ref", "alt").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    one = df.select("chrom", "pos", "ref", F.posexplode("alts.alt").alias("ai", "alt"), "samples")
+    carries = lambda s: F.transform(s["gt"], lambda g: F.when(g["alt"] == F.col("ai") + 1, "1").otherwise("0"))
+    phased = lambda s: F.exists(F.slice(s["gt"], F.lit(2), F.greatest(F.size(s["gt"]) - 1, F.lit(0))), lambda g: g["phased"])
+    bits = F.array_join(F.transform("samples", lambda s: F.array_join(F.when(phased(s), carries(s)).otherwise(F.array_sort(carries(s))), "")), "")
+    kind = F.transform("samples", lambda s: F.struct(s["name"].alias("name"), phased(s).alias("phased"), F.size(s["gt"]).alias("ploidy")))
+    words = F.posexplode_outer(F.regexp_extract_all("bits", F.lit(f".{{1,{_WORD}}}"), F.lit(0))).alias("w", "word")
+    flat = one.select("chrom", "pos", "ref", "alt", bits.alias("bits"), kind.alias("kind")).select("chrom", "pos", "ref", "alt", "kind", words)
+    flat = flat.withColumn("size", F.length("word")).withColumn("word", F.conv("word", 2, 10).cast("bigint")).withColumn("kind", F.when(F.coalesce(F.col("w"), F.lit(0)) == 0, F.col("kind")))
+    key = ["chrom", "pos", "ref", "alt"]
+    merged = flat.groupBy(*key, "w").agg(F.bit_or("word").alias("word"), F.max("size").alias("size"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    part = F.struct("w", F.lpad(F.bin("word"), F.col("size"), "0").alias("x"))
+    out = merged.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "").alias("bits"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    kinds = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(F.raise_error(F.lit("merged records differ in samples, phase or ploidy")).cast(out.schema["lo"].dataType))
+    before = lambda i: F.aggregate(F.slice("lo", F.lit(1), i), F.lit(0), lambda n, k: n + k["ploidy"])
+    gt = lambda k, i: F.transform(F.when(k["ploidy"] > 0, F.split(F.substr("bits", before(i) + 1, k["ploidy"]), "")), lambda x: x.cast("int"))
+    samples = F.transform("lo", lambda k, i: F.struct(k["name"].alias("name"), gt(k, i).alias("gt"), k["phased"].alias("phased")))
+    return out.withColumn("lo", kinds).select(*key, F.array_sort(samples).alias("samples"))
 
 
 def metadata_conflicts(headers: list) -> list[str]:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from strandspark.operators import positions
+
 # Reserved keys of the format, as (id, number, type).
 RESERVED_INFO = [
     ("AA", "1", "String"), ("AC", "A", "Integer"), ("AD", "R", "Integer"), ("ADF", "R", "Integer"), ("ADR", "R", "Integer"), ("AF", "A", "Float"),
@@ -140,34 +143,51 @@ def sample_field(header: Header, sample: Column, key: str) -> Column:
     return typed(sample["fields"][key], e["Number"], e["Type"])
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None, mode: str = "PERMISSIVE", lineno: bool = False) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None, mode: str = "PERMISSIVE", lineno: bool = False, upto: str | None = None) -> DataFrame:
     """One row per record: chrom, pos, ids, ref, alts, qual, filters, info_keys, info, format, samples, _error.
 
     ``mode``: PERMISSIVE keeps malformed records with ``_error``, DROPMALFORMED leaves them out, FAILFAST raises.
-    ``lineno`` adds the 1-based line number (one more pass over the text)."""
+    ``lineno`` adds the 1-based number of the line in its file (the lines are written once). ``upto`` names the last column
+    that is parsed (one of ``FIXED``); columns after it are null and their text is not divided."""
     header = header or read_header(spark, path if isinstance(path, str) else path[0])
     lines = spark.read.text(path)
     if lineno:
-        lines = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("value string, lineno bigint")
-    return records(lines, header, mode, lineno)
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+        lines = positions.numbered(lines.select("value", *place), ["_block", "_at"], "lineno", ["_file"]).select("value", "lineno")
+    return records(lines, header, mode, lineno, upto)
+
+
+def iterate(df: DataFrame) -> Iterator[Row]:
+    """Records one after the other on the driver, a partition at a time; stopping early leaves the rest unread."""
+    return df.toLocalIterator()
 
 
-def records(lines: DataFrame, header: Header, mode: str = "PERMISSIVE", lineno: bool = False) -> DataFrame:
-    """Lines (column value, and lineno if asked for) as records; works on streams too."""
+def records(lines: DataFrame, header: Header, mode: str = "PERMISSIVE", lineno: bool = False, upto: str | None = None) -> DataFrame:
+    """Lines (column value, and lineno if asked for) as records; works on streams too. Of a repeated INFO or FORMAT key the first
+    counts, and the record is malformed."""
+    last = len(FIXED) if upto is None else FIXED.index(upto) + 1
+    if upto is not None:
+        # the rest of a line stays one piece, and is cut off
+        header = Header(header.version, header.entries, [])
+        lines = lines.withColumn("value", F.concat_ws("\t", F.slice(F.split("value", "\t", last + 1), 1, last), *[F.lit(".") for _ in range(len(FIXED) - last)]))
     rows = lines.where("value <> '' AND NOT startswith(value, '#')").withColumn("c", F.split("value", "\t"))
     col = lambda i: F.get("c", F.lit(i))
     listed = lambda v, sep: F.when(v != ".", F.split(v, sep))
     pairs = F.transform(listed(col(7), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+    info_names = F.transform(pairs, lambda p: p["k"])
+    first_pairs = F.filter(pairs, lambda p, i: F.array_position(info_names, p["k"]) == i + 1)
     n = len(header.samples)
     names = F.array(*[F.lit(s) for s in header.samples]) if n else F.expr("cast(array() as array<string>)")
     fmt = F.split(col(8), ":")
-    fields = lambda s: F.map_from_entries(F.filter(F.arrays_zip(fmt.alias("k"), F.split(s, ":").alias("v")), lambda p: p["k"].isNotNull() & p["v"].isNotNull()))
+    fields = lambda s: F.map_from_entries(F.filter(F.arrays_zip(fmt.alias("k"), F.split(s, ":").alias("v")), lambda p, i: p["k"].isNotNull() & p["v"].isNotNull() & (F.array_position(fmt, p["k"]) == i + 1)))
     samples = F.zip_with(names, F.slice("c", 10, max(n, 1)) if n else names, lambda name, s: F.struct(name.alias("name"), fields(s).alias("fields"), genotype(fields(s)["GT"]).alias("gt")))
     gt_bad = F.exists(F.coalesce("samples", F.lit(None)), lambda s: F.exists(s["gt"], lambda g: g["alt"] > F.size("alts")))
     info_known, format_known, filter_known = (F.array(*[F.lit(k) for k in header.of(x)] or [F.lit("")]) for x in ("INFO", "FORMAT", "FILTER"))
     error = F.concat_ws(
         "; ",
         F.when(F.size("c") < 8, "too few columns"),
+        F.when(F.col("_repeated"), "INFO key repeats"),
+        F.when(F.lit(n > 0) & (F.size(F.array_distinct("format")) < F.size("format")), "FORMAT key repeats"),
         F.when((F.size("c") >= 8) & (F.size("c") != 8 + (n + 1 if n else 0)) & F.lit(n > 0), "wrong number of sample columns"),
         F.when(col(1).try_cast("bigint").isNull() | (col(1).try_cast("bigint") < 0), "POS is not a position"),
         F.when(~col(3).rlike("^[ACGTNacgtn]+$"), "REF has other characters than ACGTN"),
@@ -182,10 +202,16 @@ def records(lines: DataFrame, header: Header, mode: str = "PERMISSIVE", lineno:
         *(["lineno"] if lineno else []), "c", col(0).alias("chrom"), col(1).try_cast("bigint").alias("pos"), listed(col(2), ";").alias("ids"), F.upper(col(3)).alias("ref"),
         F.transform(F.split(col(4), ","), lambda a: F.struct(a.alias("alt"), sv_type(a).alias("sv_type"))).alias("alts"),
         F.when(col(5) != ".", col(5).try_cast("double")).alias("qual"), F.when(col(6) == "PASS", F.expr("cast(array() as array<string>)")).otherwise(listed(col(6), ";")).alias("filters"),
-        F.transform(pairs, lambda p: p["k"]).alias("info_keys"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit("")).alias("v")))).alias("info"),
+        F.array_distinct(info_names).alias("info_keys"), (F.size(first_pairs) < F.size(pairs)).alias("_repeated"), F.map_from_entries(F.transform(first_pairs, lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit("")).alias("v")))).alias("info"),
         (fmt if n else F.expr("cast(array() as array<string>)")).alias("format"), samples.alias("samples"),
     )
-    out = out.withColumn("_error", F.nullif(error, F.lit(""))).drop("c")
+    out = out.withColumn("_error", F.nullif(error, F.lit(""))).drop("c", "_repeated")
+    if upto is not None:
+        gone = {"QUAL": ["qual"], "FILTER": ["filters"], "INFO": ["info_keys", "info"], "ID": ["ids"], "REF": ["ref"], "ALT": ["alts"], "POS": ["pos"]}
+        empty = [c for k in FIXED[last:] for c in gone[k]] + ["format", "samples"]
+        out = out.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in empty})
+        if "alts" in empty:  # what was not parsed is not malformed
+            out = out.withColumn("_error", F.lit(None).cast("string"))
     if mode == "DROPMALFORMED":
         return out.where("_error IS NULL").drop("_error")
     if mode == "FAILFAST":

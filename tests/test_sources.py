@@ -48,6 +48,48 @@ def test_fastq(spark, tmp_path):
         list(sequences.fastq_records(iter(["@a", "ACG", "+", "II"])))
 
 
+def test_fastq_ranges(spark, tmp_path):
+    """One file read by many tasks equals the file read by one; qualities start with @, records have several lines."""
+    r, parts, want = random.Random(3), [], []
+    for i in range(900):
+        seq = "".join(r.choice("ACGTN") for _ in range(r.randrange(0, 90)))
+        qual = "".join(r.choice("@+I#") for _ in seq)
+        cut = r.randrange(len(seq) + 1)
+        lines = lambda x, c=cut: [x] if c in (0, len(x)) else [x[:c], x[c:]]
+        parts.append("\n".join([f"@read{i} x", *lines(seq), "+", *lines(qual)]) + "\n")
+        want.append((i, f"read{i} x", seq, qual))
+    data = "".join(parts)
+    p = write(tmp_path / "x.fq", data)
+    for size in (1 << 20, 3000, 701):
+        got = sequences.read_fastq(spark, p, size)
+        assert sorted(tuple(x)[1:] for x in got.collect()) == want, size
+    gz = write(tmp_path / "y.fastq.gz", gzip.compress(data.encode()))
+    assert sorted(tuple(x)[1:] for x in sequences.read_fastq(spark, gz, 500).collect()) == want
+    sequences.write_fastq(spark.createDataFrame(want[:50], "i int, id string, seq string, qual string").orderBy("i").coalesce(1), str(tmp_path / "out"))
+    back = sequences.read_fastq(spark, str(tmp_path / "out" / "part-*"))
+    assert sorted((x["id"], x["seq"], x["qual"]) for x in back.collect()) == sorted(w[1:] for w in want[:50])
+    assert sequences.read_fastq(spark, write(tmp_path / "none.fq", "")).count() == 0
+    with pytest.raises(Exception, match="shorter"):
+        sequences.read_fastq(spark, write(tmp_path / "bad.fq", "@a\nACGT\n+\nII\n")).collect()
+
+
+def test_delimited_fields(spark):
+    lines = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    get = lambda df: [tuple(r) for r in df.collect()]
+    f = sequences.delimited_fields
+    assert get(f(lines("1|x|2.5"), "a bigint, _skip1 string, d double", "|")) == [(1, 2.5)]
+    assert get(f(lines("a,b;c"), "x string, y string, z string", [",", ";"])) == [("a", "b", "c")]
+    assert get(f(lines("a\tT\tx,y", "b\tN"), "x char(1), y boolean, z array<string>", repeating=",", optional=1)) == [("a", True, ["x", "y"]), ("b", False, None)]
+    assert get(f(lines("7 1 2 3"), "a int, b array<int>", " ", repeating=" ")) == [(7, [1, 2, 3])]
+    bad = lambda v, schema, **k: f(lines(v), schema, mode="PERMISSIVE", **k).first()["_error"]
+    assert tuple(bad("ab\tx", "a string, b bigint")) == (1, 4, "not bigint: x")
+    assert bad("abc\td", "a char(1), b string")["position"] == 1 and bad("a", "a string, b string")["message"] == "the field is missing"
+    assert bad("a\tb\tc", "a string, b string")["field"] == 2 and bad("a\tb", "a string, b string") is None
+    assert bad("a\x01\tb", "a string, b string", printable=("a",))["field"] == 0
+    with pytest.raises(Exception, match="field 1 at 3: not int: q"):
+        f(lines("5\tq"), "a int, b int").collect()
+
+
 def test_bed_and_delimited(spark, tmp_path):
     assert [tuple(r) for r in sequences.read_bed(spark, write(tmp_path / "x.bed", "chr1\t1\t5\tname\nchr2\t7\t9\n")).orderBy("begin").collect()] == [("chr1", 1, 5), ("chr2", 7, 9)]
     with pytest.raises(Exception, match="not a region"):
@@ -76,6 +118,43 @@ def test_sam_round_trip(spark, tmp_path):
     assert df.where(sam.is_primary()).count() == 2 and "NM" not in sam.erase_tags(df, ["NM"]).where("qname='q1'").first()["tags"]
 
 
+def test_sam_modes(spark, tmp_path):
+    bad = ["q3\tx\tchr1\t7\t30\t4M\t*\t0\t0\tACGT\t*", "q4\t0\tchr1\tp\t30\t4Q\t*\t0\t0\tACGT\t*", "q5\t0\tchr1\t7", "q6\t0\t*\t0\t0\t*\t*\t0\t0\t*\t*\tNM:i:1\tNM:i:2", "q7\t0\t*\t0\t0\t*\t*\t0\t0\t*\t*\tNM:i:x"]
+    p = write(tmp_path / "bad.sam", SAM + "\n".join(bad) + "\n")
+    got = {r["qname"]: r["_error"] for r in sam.read_sam(spark, p, "PERMISSIVE").collect()}
+    assert got == {"q1": None, "q2": None, "q3": "FLAG is not a number of 16 bits", "q4": "POS is not a position; CIGAR is malformed", "q5": "too few columns; MAPQ is not a number of 8 bits; CIGAR is malformed; PNEXT is not a position; TLEN is not a number", "q6": "a tag repeats", "q7": "a tag is malformed"} | {"q5": got["q5"]}
+    assert got["q5"].startswith("too few columns")
+    assert sam.read_sam(spark, p, "DROPMALFORMED").count() == 2
+    with pytest.raises(Exception, match="FLAG is not"):
+        sam.read_sam(spark, p).collect()
+
+
+def test_sam_headers_and_tags(spark, tmp_path):
+    p = write(tmp_path / "x.sam", SAM)
+    head = sam.read_header(spark, p)
+    assert sam.header_text(head) == SAM.splitlines()[:3] and sam.sort_order(head) == ("coordinate", "none")
+    assert [f["SN"] for k, f in sam.header_subset(head, ["SQ"], ["chr2"])] == ["chr2"]
+    assert [f.get("SN") for _, f in sam.header_rename(head, "SQ", {"chr1": "one"})] == [None, "one", "chr2"]
+    with pytest.raises(ValueError, match="repeat"):
+        sam.header_rename(head, "SQ", {"chr1": "chr2"})
+    with pytest.raises(ValueError, match="unknown"):
+        sam.sort_order([("HD", {"SO": "x"})])
+    df = sam.read_sam(spark, p)
+    sam.write_sam(df, head, str(tmp_path / "out"), ["qname"])
+    assert "".join(x.read_text() for x in sorted((tmp_path / "out").glob("part-*"))) == SAM
+    lengths = {r["qname"]: (r["rname_id"], r["rname_length"]) for r in sam.with_reference(df, sam.references(spark, head)).collect()}
+    assert lengths == {"q1": (0, 100), "q2": (None, None)}
+    line = lambda d, q="q1", **k: [r["value"] for r in sam.record_text(d, **k).collect() if r["value"].startswith(q)][0].split("\t")[11:]
+    assert line(df, sort_tags=True) == sorted(SAM.splitlines()[3].split("\t")[11:])
+    assert line(sam.erase_tags_if(df, lambda k, t: t["type"] == "i")) == SAM.splitlines()[3].split("\t")[12:]
+    assert line(sam.obtain_tag(df, "NM", "i", F.lit(9)))[0] == "NM:i:1" and line(sam.obtain_tag(df, "NM", "Z", F.lit("z")))[0] == "NM:Z:z"
+    assert line(sam.obtain_tag(df, "QQ", "Z", F.lit("z")))[-1] == "QQ:Z:z" and line(sam.obtain_tag(df, "QQ", "i", F.lit(4)), "q2") == ["QQ:i:4"]
+    pair = df.where("qname = 'q1'").select(F.struct("*").alias("a"))
+    other = lambda c, v: pair.withColumn("b", F.col("a").withField(c, v)).select(sam.same_record("a", "b")).first()[0]
+    assert other("flag", F.lit(99)) and not other("flag", F.lit(98)) and not other("seq", F.lit("A")) and not other("tags", F.map_filter("a.tags", lambda k, v: k != "NM"))
+    assert [r[0] for r in df.orderBy("qname").select(sam.mapq_from_quality(F.col("mapq"))).collect()] == [-3, -33]
+
+
 def bam_bytes(n):
     refs = b"".join(struct.pack("<i", len(x) + 1) + x + b"\0" + struct.pack("<i", 100) for x in (b"chr1", b"chr2"))
     head, rec = b"@HD\tVN:1.6\n", []
@@ -101,6 +180,22 @@ def test_bam(spark, tmp_path):
     assert rows[0]["tags"]["HH"]["h"] == b"\x1a\xe3" and rows[0]["tags"]["FF"]["f"] == 0.25 and rows[0]["tags"]["ZZ"]["z"] == "hello"
 
 
+def test_bam_ranges(spark, tmp_path):
+    """One file read by many tasks, records spanning blocks and ranges, equals the whole."""
+    data, want = bam_bytes(3000)
+    packed = sam.write_bgzf(data, block=1500)
+    p = write(tmp_path / "x.bam", packed)
+    for size in (len(packed) + 1, 20000, 3001):
+        df = sam.read_bam(spark, p, size)
+        rows = df.orderBy("block", "i").collect()
+        assert [(r["qname"], r["rname"], r["pos0"], r["seq"], r["qual"], r["tags"]["NM"]["i"], r["tags"]["BA"]["bi"]) for r in rows] == want, size
+    assert sam.read_bam(spark, p, 3001).rdd.getNumPartitions() > 10
+    head, refs = sam.read_bam_header(p)
+    assert head == [("HD", {"VN": "1.6"})] and refs == [("chr1", 100), ("chr2", 100)]
+    with pytest.raises(Exception, match="checksum|inside|invalid"):
+        sam.read_bam(spark, write(tmp_path / "cut.bam", packed[: len(packed) // 2])).collect()
+
+
 def test_alloc_log(spark, tmp_path):
     word = lambda last, kind, data: struct.pack(">Q", last << 63 | kind << 56 | data)
     data = struct.pack(">QQ", 1, 2) + b"".join(struct.pack(">Q", len(x)) + x for x in (b"load", b"run"))
@@ -112,6 +207,11 @@ def test_alloc_log(spark, tmp_path):
 def test_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert one(text.parse_command_arguments(F.lit('a "b c" "d""e"'))) == ["a", "b c", 'd"e']
+    assert one(text.only_printable(F.lit("a b~"))) and not one(text.only_printable(F.lit("a\tb")))
+    with pytest.raises(Exception, match="no power of two"):
+        one(bits.gte_power_of_2(F.lit((1 << 62) + 1), strict=True))
+    with pytest.raises(Exception, match="not a boolean"):
+        one(text.parse_boolean(F.lit("x")))
     with pytest.raises(Exception, match="not a list of arguments"):
         one(text.parse_command_arguments(F.lit('a "b')))
     assert [one(bits.from_bits(bits.reverse_bits(F.lit(0xED).cast("bigint"), g, 8))) for g in (1, 2, 4, 8)] == [0xB7, 0x7B, 0xDE, 0xED]

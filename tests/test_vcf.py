@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandspark.plans import tools
 from strandspark.plans import variants as V
 from strandspark.sources import vcf
 
@@ -64,6 +65,67 @@ def test_errors(spark, tmp_path):
         vcf.read_vcf(spark, str(p), mode="FAILFAST").collect()
 
 
+def test_repeated_keys_and_columns(spark, tmp_path):
+    p = tmp_path / "r.vcf"
+    p.write_text(TEXT + "chr1\t11\t.\tC\tG\t.\t.\tI1=3;I1=4\tGT:FI:FI\t0/0:1:2\t0/0:3\n")
+    r = vcf.read_vcf(spark, str(p)).where("pos = 11").first()
+    assert r["_error"] == "INFO key repeats; FORMAT key repeats" and r["info"] == {"I1": "3"} and r["info_keys"] == ["I1"] and r["samples"][0]["fields"]["FI"] == "1"
+    upto = vcf.read_vcf(spark, str(p), upto="ALT").orderBy("pos").collect()
+    assert [(x["pos"], x["ref"], x["qual"], x["info"], x["samples"], x["_error"]) for x in upto][0] == (3, "C", None, None, None, None) and len(upto) == 4
+    (tmp_path / "two").mkdir()
+    for n in "ab":
+        (tmp_path / "two" / f"{n}.vcf").write_text(TEXT)
+    both = vcf.read_vcf(spark, str(tmp_path / "two"), vcf.parse_header(TEXT.splitlines()[:8]), lineno=True)
+    assert sorted(x["lineno"] for x in both.collect()) == [9, 9, 10, 10, 11, 11]
+    assert [x["pos"] for x, _ in zip(vcf.iterate(both.orderBy("pos")), range(2))] == [3, 3]
+
+
+def test_cat_tool(spark, records, tmp_path):
+    """From files to a file, which is read again."""
+    h, _, path = records
+    (tmp_path / "s.txt").write_text("S1\n\n")
+    (tmp_path / "r.bed").write_text("chr1\t2\t6\n")
+    tools.vcfcat(spark, [path], str(tmp_path / "out"), include_file=str(tmp_path / "s.txt"), bed=str(tmp_path / "r.bed"), missing_id_prefix="m", omit_info=True, formats=["GT"])
+    text = "".join(x.read_text() for x in sorted((tmp_path / "out").glob("part-*")))
+    assert vcf.parse_header([x for x in text.splitlines() if x.startswith("#")]).entries == h.entries
+    assert [x for x in text.splitlines() if x[0] != "#"] == ["chr1\t3\ta;b\tC\tG\t10\tPASS\t.\tGT\t1/1", "chr1\t5\tm1\tA\tGT\t.\t.\t.\tGT\t0|1"]
+    tools.vcfcat(spark, [path, path], str(tmp_path / "all"), exclude=["S2"])
+    (tmp_path / "all.vcf").write_text("".join(x.read_text() for x in sorted((tmp_path / "all").glob("part-*"))))
+    again = vcf.read_vcf(spark, str(tmp_path / "all.vcf"))
+    assert [r["pos"] for r in again.orderBy("pos").collect()] == [3, 3, 5, 5, 9, 9] and vcf.read_header(spark, str(tmp_path / "all.vcf")).samples == ["S1"]
+    other = tmp_path / "o.vcf"
+    other.write_text(TEXT.replace("I1,Number=1", "I1,Number=2"))
+    with pytest.raises(ValueError, match="INFO I1"):
+        tools.vcfcat(spark, [path, str(other)], str(tmp_path / "no"))
+
+
+def test_counts(spark, records, tmp_path):
+    h, df, _ = records
+    bed = spark.createDataFrame([("chr1", 2, 3), ("chr1", 8, 10)], "chrom string, begin bigint, end bigint")
+    more = df.unionByName(df.where("pos = 3").withColumn("chrom", F.lit("chr9")))
+    assert tuple(V.region_counts(more, bed).first()) == (4, 1, 1)
+    ref = spark.createDataFrame(REF, "id string, seq string")
+    assert sorted(tuple(r) for r in V.reference_counts(more, ref, "chr1").collect()) == [("chr1", True, 3, 3, 0), ("chr9", False, 1, 0, 0)]
+    assert sorted(tuple(r) for r in V.phase_set_counts(df, "chr1").collect()) == [("S1", 0, 3), ("S2", 0, 3)]
+    assert {r["pos"]: r["n"] for r in V.private_counts(df, ["S1"]).collect()} == {3: 0, 5: 1, 9: 1} and V.private_total(df, ["S1"]).first()["n"] == 2
+    assert {(r["record"], r["row"]["si"], r["row"]["copy"]): r["allele"] for r in V.genotype_cells(df, ["pos"]).collect()} == {(0, 0, 0): 1, (0, 0, 1): 1, (0, 1, 0): 0, (0, 1, 1): 1, (1, 0, 0): 0, (1, 0, 1): 2, (1, 1, 0): None, (1, 1, 1): 0, (2, 0, 0): 1, (2, 0, 1): 0, (2, 1, 0): 0, (2, 1, 1): 0}
+    assert V.write_image(df, ["pos"], str(tmp_path / "g.tif")) == (3, 4)
+    data = (tmp_path / "g.tif").read_bytes()
+    assert data[:4] == b"II*\0" and data[8:20] == bytes([2, 1, 2, 2, 3, 1, 1, 0, 1, 2, 1, 1])
+    same = df.unionByName(df).withColumn("ids", F.lit(None).cast("array<string>"))
+    assert sorted(r["ids"][0] for r in V.fill_missing_ids(same, "m", ["chrom", "pos"]).collect()) == [f"m{i}" for i in range(1, 7)]
+
+
+def test_projection_and_ends(spark, records):
+    h, df, _ = records
+    assert [(r["info_keys"], sorted(r["info"] or {})) for r in V.project_info(df, ["I1"]).orderBy("pos").collect()][0] == (["I1"], ["I1"])
+    assert V.project_format(df, ["FI"]).orderBy("pos").first()["format"] == ["FI"] and V.project_info(df, []).where("size(info) > 0").count() == 0
+    ended = df.withColumn("info", F.when(F.col("pos") == 3, F.create_map(F.lit("END"), F.lit("30"))).otherwise(F.col("info")))
+    assert [r[0] for r in ended.orderBy("pos").select(vcf.variant_end(ended)).collect()] == [30, 5, 9]
+    meta = vcf.meta_table(spark, h).collect()
+    assert [r["id"] for r in meta][:2] == ["FLAG", "I1"] and meta[1]["number"] == "1" and [r["name"] for r in vcf.sample_table(spark, h).collect()] == ["S1", "S2"]
+
+
 def test_filters(records):
     _, df, _ = records
     assert [r["pos"] for r in V.snps_only(df).orderBy("pos").collect()] == [3, 5]
