@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandspark.functions import bits, text
+from strandspark.functions import bits, checks, text, tuples, vectors
 from strandspark.operators import accumulators as acc
-from strandspark.operators import chains, ordered, pbwt, positions, sets
+from strandspark.operators import alphabets, chains, matrices, ordered, pbwt, positions, sets
+from strandspark.plans import variants
+from strandspark.sources import alloclog, sam, sequences, vcf
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -45,7 +47,44 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-c = F.col
+c = lambda name: F.col(name)
+
+# --- records and what they are made of ---------------------------------------------------------------------------------
+
+#: An order is a record and its line items are the record's samples, each with two copies.
+_ROWS = """(SELECT l_orderkey AS pos, 'chr' || (l_orderkey % 3) AS chrom, 'S' || l_linenumber AS name, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q,
+  CASE WHEN CAST(l_quantity AS BIGINT) % 7 <> 0 THEN CAST(l_quantity AS BIGINT) % 3 END AS a0, l_suppkey % 4 AS a1, CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_partkey % 90 AS INT) END AS ps,
+  CASE l_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' ELSE 'G' END AS ref FROM lineitem)"""
+_POS = f"(SELECT DISTINCT pos, chrom, ref FROM {_ROWS})"
+_ALTS = ["T", "GA", "<DEL>"]
+_ALT = "CASE a WHEN 1 THEN 'T' WHEN 2 THEN 'GA' ELSE '<DEL>' END"
+#: Bases of the reference; it is shorter than some positions.
+_REF_BASES = 12_000
+
+
+def _records(t):
+    """Line items as variant records, as the VCF reader gives them."""
+    q = c("l_quantity").cast("bigint")
+    gt = F.array(F.struct(F.when(q % 7 != 0, q % 3).cast("smallint").alias("alt"), F.lit(False).alias("phased")), F.struct((c("l_suppkey") % 4).cast("smallint").alias("alt"), (c("l_partkey") % 2 == 0).alias("phased")))
+    fields = F.when(c("l_partkey") % 5 != 0, F.create_map(F.lit("PS"), (c("l_partkey") % 90).cast("string"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", q.alias("q"), F.concat(F.lit("S"), "l_linenumber").alias("name"), gt.alias("gt"))
+    rows = t.lineitem.select("l_orderkey", item.alias("s"), fields.alias("fields"))
+    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("s", F.map_entries("fields").alias("f")))).alias("x"))
+    samples = F.transform("x", lambda e: F.struct(e["s"]["name"].alias("name"), F.map_from_entries(e["f"]).alias("fields"), e["s"]["gt"].alias("gt")))
+    pos = c("l_orderkey")
+    alts = F.array(*[F.struct(F.lit(a).alias("alt"), F.lit("DEL" if a[0] == "<" else "NONE").alias("sv_type")) for a in _ALTS])
+    dp = F.create_map(F.lit("DP"), (pos % 50).cast("string"))
+    info = F.when(pos % 6 == 0, F.map_concat(dp, F.create_map(F.lit("END"), (pos + 10).cast("string")))).otherwise(dp)
+    return listed.select(
+        F.concat(F.lit("chr"), pos % 3).alias("chrom"), pos.alias("pos"), F.when(pos % 4 != 0, F.array(F.concat(F.lit("rs"), pos))).alias("ids"), F.when(pos % 3 == 0, "A").when(pos % 3 == 1, "AC").otherwise("G").alias("ref"),
+        alts.alias("alts"), F.lit(None).cast("double").alias("qual"), F.expr("cast(array() as array<string>)").alias("filters"), F.map_keys(info).alias("info_keys"), info.alias("info"),
+        F.array(F.lit("GT"), F.lit("PS")).alias("format"), samples.alias("samples"),
+    )
+
+
+def _reference(t):
+    return t.spark.range(3).select(F.concat(F.lit("chr"), "id").alias("id"), F.repeat(F.lit("ACG"), _REF_BASES // 3).alias("seq"))
+
 
 # --- filters and projections ------------------------------------------------------------------------------------------
 
@@ -60,98 +99,114 @@ def sortedness_check(t):
     return ordered.unsorted_rows(t.events, ["user_id"], ["event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@twin("SELECT l_orderkey, l_linenumber % 2 AS copy, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY ALL")
+@twin(f"SELECT name AS sample, copy, count(*) FILTER (a > 0) AS n FROM (SELECT name, chrom, 0 AS copy, a0 AS a FROM {_ROWS} UNION ALL SELECT name, chrom, 1, a1 FROM {_ROWS}) WHERE chrom = 'chr1' GROUP BY ALL")
 def count_per_copy(t):
-    return t.lineitem.groupBy("l_orderkey", (c("l_linenumber") % 2).alias("copy")).agg(F.count_if(c("l_quantity") > 25).alias("n"))
+    return variants.counts_per_copy(_records(t), "chr1").select("sample", c("copy").cast("int").alias("copy"), "n")
 
 
-@twin("SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS ps, count(*) AS n FROM events GROUP BY ALL")
+@twin(f"SELECT pos, name AS sample, ps FROM {_ROWS} WHERE chrom = 'chr1'")
 def phase_sets(t):
-    return t.events.groupBy("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("ps")).agg(F.count("*").alias("n"))
+    return variants.phase_sets(_records(t), "chr1")
+
+
+@twin(f"SELECT name AS sample, count(ps) AS set, count(*) FILTER (ps IS NULL) AS unset FROM {_ROWS} WHERE chrom = 'chr1' GROUP BY name")
+def phase_set_counts(t):
+    return variants.phase_set_counts(_records(t), "chr1")
 
 
-@twin("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@twin(f"SELECT pos, ref, count(*) AS n FROM {_ROWS} WHERE chrom = 'chr1' GROUP BY ALL")
 def chrom_filter(t):
-    return t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+    return variants.cat(_records(t), chrom="chr1").select("pos", "ref", F.size("samples").cast("bigint").alias("n"))
 
 
-@twin("SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part) WHERE length(word) <= 5")
+@twin(f"SELECT pos, ref, 'T' AS alts FROM {_POS} WHERE length(ref) = 1")
 def snp_filter(t):
-    kept = F.filter(F.split("p_type", " "), lambda w: F.length(w) <= 5)
-    return t.part.select("p_partkey", F.explode(kept).alias("word"))
+    return variants.snps_only(_records(t)).select("pos", "ref", F.array_join("alts.alt", ",").alias("alts"))
 
 
-@twin("SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_returnflag, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY ALL) WHERE n = 2")
+@twin(f"SELECT DISTINCT pos FROM {_ROWS} WHERE CASE WHEN a0 > 0 THEN 1 ELSE 0 END + CASE WHEN a1 > 0 THEN 1 ELSE 0 END = 2")
 def zygosity_exact_k(t):
-    per = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count_if(c("l_quantity") > 25).alias("n"))
-    return per.where("n = 2").select("l_orderkey").distinct()
+    return variants.zygosity(_records(t), 2).select("pos")
 
 
-@twin("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@twin(f"SELECT pos, name, count(*) AS n FROM {_ROWS} WHERE name IN ('S1', 'S3') GROUP BY ALL")
 def sample_include(t):
-    return t.customer.where(c("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+    kept = variants.select_samples(_records(t), include=["S1", "S3"])
+    return kept.select("pos", F.explode("samples.name").alias("name")).groupBy("pos", "name").agg(F.count("*").alias("n"))
 
 
-@twin("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+@twin(f"SELECT pos, name, count(*) AS n FROM {_ROWS} WHERE name NOT IN ('S1', 'S3') GROUP BY ALL")
 def sample_exclude(t):
-    return t.customer.where(~c("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+    kept = variants.select_samples(_records(t), exclude=["S1", "S3"])
+    return kept.select("pos", F.explode("samples.name").alias("name")).groupBy("pos", "name").agg(F.count("*").alias("n"))
 
 
-@twin("SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS allele FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity > 10)")
+@twin(f"""WITH r AS (SELECT pos, a0, a1 FROM {_ROWS} WHERE name IN ('S1', 'S2')), x AS (SELECT pos, a0 AS a FROM r UNION ALL SELECT pos, a1 FROM r),
+k AS (SELECT pos, a, row_number() OVER (PARTITION BY pos ORDER BY a) AS number FROM (SELECT DISTINCT pos, a FROM x WHERE a > 0))
+SELECT pos, string_agg(alt, ',' ORDER BY a) AS alts, CAST(sum(n * number) AS BIGINT) AS total FROM (SELECT pos, a, any_value(number) AS number, count(*) AS n, any_value({_ALT}) AS alt FROM x JOIN k USING (pos, a) GROUP BY pos, a) GROUP BY pos""")
 def alt_prune_renumber(t):
-    used = t.lineitem.where("l_quantity > 10").select("l_orderkey", "l_suppkey").distinct()
-    return used.withColumn("allele", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_suppkey")))
+    pruned = variants.prune_alts(variants.select_samples(_records(t), include=["S1", "S2"]))
+    alleles = F.flatten(F.transform("samples", lambda s: F.transform(s["gt"], lambda g: g["alt"])))
+    return pruned.select("pos", F.array_join("alts.alt", ",").alias("alts"), F.aggregate(alleles, F.lit(0).cast("bigint"), lambda n, a: n + F.coalesce(a, F.lit(0))).alias("total"))
 
 
-@twin("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@twin(f"SELECT pos, CASE WHEN pos % 6 = 0 THEN 'END' ELSE '' END AS keys, CASE WHEN pos % 6 = 0 THEN CAST(pos + 10 AS VARCHAR) END AS value, CASE WHEN pos % 6 = 0 THEN 1 ELSE 0 END AS n FROM {_POS}")
 def info_project(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return variants.project_info(_records(t), ["END", "XX"]).select("pos", F.array_join("info_keys", ",").alias("keys"), F.get(F.map_values("info"), F.lit(0)).alias("value"), F.size("info").alias("n"))
 
 
-@twin("SELECT event_id, ts, user_id, event_type FROM events")
+@twin(f"SELECT pos, 'PS' AS keys FROM {_POS}")
+def format_project(t):
+    return variants.project_format(_records(t), ["PS", "XX"]).select("pos", F.array_join("format", ",").alias("keys"))
+
+
+@twin(f"SELECT pos, 0 AS n FROM {_POS}")
 def info_omit(t):
-    return t.events.drop("props", "value")
+    return variants.cat(_records(t), omit_info=True).select("pos", (F.size("info") + F.size("info_keys")).alias("n"))
 
 
-@twin("SELECT event_id, CASE WHEN value < 10 THEN 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) ELSE event_type END AS id FROM events")
+@twin(f"SELECT pos, CASE WHEN pos % 4 = 0 THEN 'id' || row_number() OVER (PARTITION BY pos % 4 = 0 ORDER BY chrom, pos) ELSE 'rs' || pos END AS id FROM {_POS}")
 def fill_missing_id(t):
-    numbered = positions.numbered(t.events.select("event_id", "event_type", (c("value") < 10).alias("missing")), ["event_id"], "n", ["missing"])
-    return numbered.select("event_id", F.when(c("missing"), F.concat(F.lit("id"), "n")).otherwise(c("event_type")).alias("id"))
+    return variants.fill_missing_ids(_records(t), "id", ["chrom", "pos"]).select("pos", c("ids")[0].alias("id"))
 
 
-@twin("SELECT event_id FROM events WHERE NOT coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50, false)")
+@twin(f"SELECT pos FROM {_POS} WHERE pos % 6 <> 0")
 def drop_if_info_set(t):
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return t.events.where(~F.coalesce(k > 50, F.lit(False))).select("event_id")
+    return variants.drop_with_info(_records(t), ["END", "XX"]).select("pos")
 
 
-@twin("SELECT p_brand, count(*) FILTER (substr(p_name, 1, 1) <> substr(p_brand, 1, 1)) AS mismatches, count(*) FILTER (substr(p_name, 1, 1) = substr(p_brand, 1, 1)) AS matches FROM part GROUP BY p_brand")
+@twin(f"SELECT chrom, chrom <> 'chr0' AS checked, count(*) AS records, count(*) FILTER (chrom <> 'chr0' AND ok) AS matches, count(*) FILTER (chrom <> 'chr0' AND NOT ok) AS mismatches FROM (SELECT chrom, pos % 3 = 1 AND pos < {_REF_BASES} AS ok FROM {_POS}) WHERE chrom <> 'chr0' GROUP BY ALL")
 def ref_check(t):
-    differs = F.substring("p_name", 1, 1) != F.substring("p_brand", 1, 1)
-    return t.part.groupBy("p_brand").agg(F.count_if(differs).alias("mismatches"), F.count_if(~differs).alias("matches"))
+    return variants.reference_counts(_records(t).where("chrom <> 'chr0'"), _reference(t))
+
+
+@twin(f"SELECT chrom, pos, ref, CASE WHEN pos <= {_REF_BASES} THEN 'C' END AS expected FROM {_POS} WHERE chrom = 'chr2'")
+def ref_mismatches(t):
+    return variants.check_reference(_records(t), _reference(t), "chr2")
 
 
-@twin("SELECT p_partkey, CASE WHEN p_size = 1 THEN substr(p_name, 1, 1) || p_brand ELSE substr(p_brand, length(p_brand), 1) || p_name END AS ref, CASE WHEN p_size > 1 THEN p_size - 1 ELSE p_size END AS pos FROM part")
+@twin(f"""SELECT CASE WHEN old = 1 THEN 1 ELSE old - 1 END AS pos, CASE WHEN old = 1 THEN ref || base ELSE base || ref END AS ref, CASE WHEN base IS NULL THEN '' WHEN old = 1 THEN 'T' || base || ',GA' || base || ',' || base ELSE base || 'T,' || base || 'GA,' || base END AS alts
+FROM (SELECT pos AS old, ref, CASE WHEN pos = 1 THEN 'G' WHEN pos - 1 <= {_REF_BASES} THEN substr('ACG', CAST((pos - 2) % 3 AS INT) + 1, 1) END AS base FROM {_POS} WHERE pos > 0)""")
 def deletion_rewrite(t):
-    first = c("p_size") == 1
-    ref = F.when(first, F.concat(F.substring("p_name", 1, 1), "p_brand")).otherwise(F.concat(F.substring("p_brand", -1, 1), "p_name"))
-    return t.part.select("p_partkey", ref.alias("ref"), F.when(c("p_size") > 1, c("p_size") - 1).otherwise(c("p_size")).alias("pos"))
+    return variants.convert_deletions(_records(t).where("pos > 0"), _reference(t)).select("pos", "ref", F.array_join("alts.alt", ",").alias("alts"))
 
 
-@twin("SELECT event_id, coalesce(CASE WHEN value > 50 THEN user_id END, event_id + length(event_type)) AS end_pos FROM events")
+@twin(f"SELECT pos, CASE WHEN pos % 6 = 0 THEN pos + 10 ELSE pos - 1 + length(ref) END AS end_pos FROM {_POS}")
 def end_pos(t):
-    return t.events.select("event_id", F.coalesce(F.when(c("value") > 50, c("user_id")), c("event_id") + F.length("event_type")).alias("end_pos"))
+    df = _records(t)
+    return df.select("pos", vcf.variant_end(df).alias("end_pos"))
 
 
 @twin("SELECT l_orderkey, l_partkey, (l_partkey & 2304) = 0 AS is_primary, l_linenumber - 33 AS mapq FROM lineitem")
 def flag_mask(t):
-    return t.lineitem.select("l_orderkey", "l_partkey", (c("l_partkey").bitwiseAND(2304) == 0).alias("is_primary"), (c("l_linenumber") - 33).alias("mapq"))
+    rows = t.lineitem.withColumn("flag", c("l_partkey"))
+    return rows.select("l_orderkey", "l_partkey", sam.is_primary().alias("is_primary"), sam.mapq_from_quality(c("l_linenumber")).alias("mapq"))
 
 
-@twin("SELECT c_custkey, c_nationkey - 12 < c_custkey AS lt, c_nationkey - 12 = c_custkey AS eq, c_nationkey - 12 <= c_custkey AS lte FROM customer")
+@twin("SELECT c_custkey, a < b AS lt, a = b AS eq, a <= b AS lte FROM (SELECT c_custkey, CAST(c_nationkey - 12 AS HUGEINT) AS a, CAST(c_custkey % 20 - 9 AS HUGEINT) + CASE WHEN c_custkey % 20 < 9 THEN CAST('18446744073709551616' AS HUGEINT) ELSE 0 END AS b FROM customer)")
 def mixed_sign_compare(t):
-    a, b = (c("c_nationkey") - 12).cast("decimal(20,0)"), c("c_custkey").cast("decimal(20,0)")
-    return t.customer.select("c_custkey", (a < b).alias("lt"), (a == b).alias("eq"), (a <= b).alias("lte"))
+    a, b = (c("c_nationkey") - 12).cast("bigint"), (c("c_custkey") % 20 - 9).cast("bigint")
+    return t.customer.select("c_custkey", checks.mixed(a, "<", b).alias("lt"), checks.mixed(a, "==", b).alias("eq"), checks.mixed(a, "<=", b).alias("lte"))
 
 
 # --- intervals and joins ----------------------------------------------------------------------------------------------
@@ -223,29 +278,40 @@ def private_alleles(t):
     return sets.difference(inside.select("l_partkey", "l_suppkey"), outside, ["l_partkey", "l_suppkey"]).groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
-@twin("SELECT o_orderkey AS rec, i - 1 AS col, ascii(substr(o_orderpriority, CAST(i AS INT), 1)) AS val FROM (SELECT o_orderkey, o_orderpriority, unnest(generate_series(1, length(o_orderpriority))) AS i FROM orders)")
+@twin(f"""SELECT record, allele, CASE allele WHEN 0 THEN '#ffffff' WHEN 1 THEN '#1f3a93' WHEN 2 THEN '#c0392b' WHEN 3 THEN '#27ae60' ELSE '#808080' END AS rgb, count(*) AS n FROM (
+  SELECT dense_rank() OVER (ORDER BY pos) - 1 AS record, unnest([a0, a1]) AS allele FROM {_ROWS}) GROUP BY ALL""")
 def genotype_matrix(t):
-    cells = t.orders.select(c("o_orderkey").alias("rec"), F.posexplode(F.split("o_orderpriority", "")).alias("col", "ch"))
-    return cells.select("rec", c("col").cast("bigint").alias("col"), F.ascii("ch").alias("val"))
+    cells = variants.genotype_cells(_records(t), ["pos"])
+    return cells.groupBy("record", c("allele").cast("bigint").alias("allele"), "rgb").agg(F.count("*").alias("n"))
 
 
-# --- statistics -------------------------------------------------------------------------------------------------------
+@twin(f"""WITH x AS (SELECT pos, name IN ('S1', 'S2') AS inside, unnest([a0, a1]) AS a FROM {_ROWS})
+SELECT pos, a AS alt FROM x WHERE a > 0 GROUP BY pos, a HAVING bool_and(inside)""")
+def private_variants(t):
+    return variants.private_variants(_records(t), ["S1", "S2"]).select("pos", c("alt").cast("bigint").alias("alt"))
+
+
+@twin(f"""WITH x AS (SELECT pos, name IN ('S1', 'S2') AS inside, unnest([a0, a1]) AS a FROM {_ROWS})
+SELECT count(*) AS n FROM (SELECT pos, a FROM x WHERE a > 0 GROUP BY pos, a HAVING bool_and(inside))""")
+def private_total(t):
+    return variants.private_total(_records(t), ["S1", "S2"])
+
 
+# --- statistics -------------------------------------------------------------------------------------------------------
 
-def _agg(name: str, spark_fn, sql_fn: str) -> None:
-    sql = f"SELECT l_returnflag, l_linestatus, {sql_fn} AS v FROM lineitem GROUP BY ALL"
 
+def _agg(name: str, column, sql_fn: str) -> None:
     def f(t):
-        return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(spark_fn().alias("v"))
+        return acc.summary(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity").select("l_returnflag", "l_linestatus", column().alias("v"))
 
     f.__name__ = name
-    twin(sql)(f)
+    twin(f"SELECT l_returnflag, l_linestatus, {sql_fn} AS v FROM lineitem GROUP BY ALL")(f)
 
 
-_agg("acc_sum", lambda: F.round(F.sum("l_quantity"), 2), "round(sum(l_quantity), 2)")
-_agg("acc_mean", lambda: F.round(F.avg("l_quantity"), 6), "round(avg(l_quantity), 6)")
-_agg("acc_min", lambda: F.min("l_extendedprice"), "min(l_extendedprice)")
-_agg("acc_max", lambda: F.max("l_extendedprice"), "max(l_extendedprice)")
+_agg("acc_sum", lambda: F.round("sum", 2), "round(sum(l_quantity), 2)")
+_agg("acc_mean", lambda: F.round("mean", 6), "round(avg(l_quantity), 6)")
+_agg("acc_min", lambda: c("min"), "min(l_quantity)")
+_agg("acc_max", lambda: c("max"), "max(l_quantity)")
 
 
 @twin("SELECT l_returnflag, min(s) AS min_sum FROM (SELECT l_returnflag, l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS s FROM lineitem GROUP BY ALL) GROUP BY ALL")
@@ -308,12 +374,12 @@ def run_lengths(t):
 
 @twin("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 def count_items(t):
-    return t.part.groupBy("p_size").agg(F.count("*").alias("n"))
+    return acc.count_items(t.part, "p_size")
 
 
 @twin("SELECT min(p_size) AS lo, max(p_size) AS hi FROM part")
 def identifier_min_max(t):
-    return t.part.agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+    return acc.key_range(t.part, "p_size")
 
 
 @twin("SELECT event_type, arg_min(event_id, (floor(value), event_id)) AS argmin, arg_max(event_id, (floor(value), -event_id)) AS argmax FROM events GROUP BY event_type")
@@ -332,10 +398,19 @@ def least_greatest(t):
     return t.orders.select("o_orderkey", F.least("o_orderkey", c("o_custkey") * 10).alias("lo"), F.greatest("o_orderkey", c("o_custkey") * 10).alias("hi"))
 
 
-@twin("SELECT l_orderkey, l_suppkey, l_returnflag, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS gt FROM lineitem GROUP BY ALL")
+@twin("""WITH r AS (SELECT o_orderkey // 8 AS pos, o_custkey % 2 + 1 AS ai, o_orderkey % 3 AS a0, o_custkey % 3 AS a1, o_custkey % 4 AS b0, o_orderkey % 4 AS b1 FROM orders),
+g AS (SELECT pos, alt, unnest([1, 2]) AS k, a0, a1, b0, b1 FROM r, (SELECT unnest(['C', 'T']) AS alt) WHERE alt = 'C'),
+m AS (SELECT pos, k, max(CAST(a0 = k AS INT)) AS a0, max(CAST(a1 = k AS INT)) AS a1, max(least(CAST(b0 = k AS INT), CAST(b1 = k AS INT))) AS b0, max(greatest(CAST(b0 = k AS INT), CAST(b1 = k AS INT))) AS b1 FROM g GROUP BY pos, k)
+SELECT pos, CASE k WHEN 1 THEN 'C' ELSE 'T' END AS alt, 'A:' || a0 || '|' || a1 || ',B:' || b0 || '/' || b1 AS gts FROM m""")
 def merge_genotypes(t):
-    carries = F.when(c("l_quantity") > 25, 1).otherwise(0)
-    return t.lineitem.groupBy("l_orderkey", "l_suppkey", "l_returnflag").agg(F.max(carries).alias("gt"))
+    """Eight orders are records of one place; sample A is phased, B is not."""
+    allele = lambda x, phased: F.struct(x.cast("smallint").alias("alt"), F.lit(phased).alias("phased"))
+    sample = lambda name, x, y, phased: F.struct(F.lit(name).alias("name"), F.array(allele(x, False), allele(y, phased)).alias("gt"))
+    samples = F.array(sample("A", c("o_orderkey") % 3, c("o_custkey") % 3, True), sample("B", c("o_custkey") % 4, c("o_orderkey") % 4, False))
+    alts = F.array(*[F.struct(F.lit(x).alias("alt")) for x in "CT"])
+    merged = variants.merge_records(t.orders.select(F.lit("chr1").alias("chrom"), F.floor(c("o_orderkey") / 8).alias("pos"), F.lit("A").alias("ref"), alts.alias("alts"), samples.alias("samples")))
+    text_ = F.array_join(F.transform("samples", lambda s: F.concat(s["name"], F.lit(":"), s["gt"][0].cast("string"), F.when(s["phased"], "|").otherwise("/"), s["gt"][1].cast("string"))), ",")
+    return merged.select("pos", "alt", text_.alias("gts"))
 
 
 @twin("SELECT 'nation-' || n_nationkey AS id, sum(n) AS size FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1 UNION ALL SELECT 'region-' || n_regionkey, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 'world', count(*) FROM customer".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
@@ -362,38 +437,60 @@ def _seq(t):
 
 @twin(f"SELECT CAST(col AS INT) AS col, row_idx, rank FROM {_RANKED}")
 def pbwt_rank(t):
-    return pbwt.ranked(_seq(t), 6).select("col", "row_idx", "rank")
+    return pbwt.ranked(_seq(t)).select("col", "row_idx", "rank")
 
 
 @twin(f"SELECT CAST(col AS INT) AS col, row_idx, CAST(divergence AS BIGINT) AS divergence FROM {_DIV}")
 def pbwt_divergence(t):
-    return pbwt.ranked(_seq(t), 6).select("col", "row_idx", "divergence")
+    return pbwt.ranked(_seq(t)).select("col", "row_idx", "divergence")
 
 
 @twin(f"SELECT CAST(col AS INT) AS col, CAST(divergence AS BIGINT) AS divergence, count(*) AS n FROM {_DIV} GROUP BY ALL")
 def divergence_hist(t):
-    return pbwt.divergence_counts(pbwt.ranked(_seq(t), 6))
+    return pbwt.divergence_counts(pbwt.ranked(_seq(t)))
 
 
 @twin(f"SELECT CAST(col AS INT) AS col, count(*) FILTER (divergence > 2) AS n FROM {_DIV} GROUP BY ALL")
 def unique_substring_count(t):
-    return pbwt.unique_substring_count(pbwt.ranked(_seq(t), 6), 2)
+    return pbwt.unique_substring_count(pbwt.ranked(_seq(t)), 2)
 
 
 _RUNSUB = f"SELECT CAST(col AS INT) AS col, substr(seq, 3, CAST(col AS INT) - 1) AS s, row_idx FROM {_SEQ}, (SELECT unnest(generate_series(2, 5)) AS col)"
 
 
-@twin(f"SELECT col, copies, first_row FROM (SELECT col, s, count(*) AS copies, min(row_idx) AS first_row FROM ({_RUNSUB}) GROUP BY col, s)")
+@twin(f"SELECT col, row_idx, count(*) OVER w AS copies, min(row_idx) OVER w AS first_row FROM ({_RUNSUB}) WINDOW w AS (PARTITION BY col, s)")
 def unique_substring_runs(t):
     return pbwt.substring_runs(_seq(t), 6, 2)
 
 
-_CUT = f"SELECT row_idx, CAST(col AS INT) AS col, substr(seq, CAST(col AS INT) - 2, 4) AS s FROM {_SEQ}, (SELECT unnest(generate_series(3, 5)) AS col)"
+#: Some sequences hold an N.
+_SEQ_N = "(SELECT p_partkey AS row_idx, CASE WHEN p_partkey % 5 = 0 THEN substr(s, 1, CAST(p_partkey % 6 AS INT)) || 'N' || substr(s, CAST(p_partkey % 6 AS INT) + 2) ELSE s END AS seq FROM (SELECT p_partkey, lpad(bin(p_size), 6, '0') AS s FROM part))"
+
+
+def _seq_n(t):
+    s = F.lpad(F.bin("p_size"), 6, "0")
+    return t.part.select(c("p_partkey").alias("row_idx"), F.when(c("p_partkey") % 5 == 0, F.overlay(s, F.lit("N"), (c("p_partkey") % 6 + 1).cast("int"), F.lit(1))).otherwise(s).alias("seq"))
+
+
+def _identity_sql(unknown: bool) -> str:
+    last = "CASE WHEN contains(suffix, 'N') THEN col + 2 - instr(suffix, 'N') ELSE 0 END" if unknown else "0"
+    cols = _COLS.replace(_SEQ, _SEQ_N)
+    ranked = f"(SELECT col, row_idx, suffix, row_number() OVER w - 1 AS rank, lag(suffix) OVER w AS last FROM {cols} WINDOW w AS (PARTITION BY col ORDER BY suffix, row_idx))"
+    return f"""WITH d AS (SELECT col, row_idx, rank, CASE WHEN last IS NULL THEN col + 1 ELSE col + 1 - {_AGREE} END AS divergence, {last} AS n FROM {ranked}),
+h AS (SELECT *, rank = 0 OR col + 1 - divergence < 3 AS head, col + 1 - greatest(divergence, n) AS size FROM d),
+m AS (SELECT col, row_idx, size, last_value(CASE WHEN head THEN row_idx END IGNORE NULLS) OVER (PARTITION BY col ORDER BY rank ROWS UNBOUNDED PRECEDING) AS leader, head FROM h),
+r AS (SELECT col, row_idx, leader, size FROM m WHERE NOT head AND size >= 3)
+SELECT CAST(col AS INT) AS position, leader, row_idx, CAST(size AS INT) AS length FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.col = r.col + 1 AND x.row_idx = r.row_idx AND x.leader = r.leader)"""
 
 
-@twin(f'SELECT row_idx, leader, min(col) - 3 AS "begin", max(col) + 1 AS "end" FROM (SELECT row_idx, leader, col, col - row_number() OVER (PARTITION BY row_idx, leader ORDER BY col) AS g FROM (SELECT *, min(row_idx) OVER (PARTITION BY col, s) AS leader FROM ({_CUT})) WHERE row_idx <> leader) GROUP BY row_idx, leader, g')
+@twin(_identity_sql(False))
 def msa_identity(t):
-    return pbwt.identity_regions(_seq(t), 6, 4)
+    return pbwt.identity_regions(_seq_n(t), 3)
+
+
+@twin(_identity_sql(True))
+def msa_identity_ignore_n(t):
+    return pbwt.identity_regions(_seq_n(t), 3, "N")
 
 
 # --- sorts, partitions, sets --------------------------------------------------------------------------------------------
@@ -411,10 +508,7 @@ def radix_sort_desc(t):
 
 @twin("SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) + (SELECT count(*) FROM part b WHERE b.p_size < a.p_size) AS position FROM part a")
 def counting_sort(t):
-    counts = t.part.groupBy("p_size").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("p_size")) - c("n")).select("p_size", "start")
-    inside = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
-    return t.part.withColumn("_in", inside).join(starts, "p_size").select("p_partkey", (c("start") + c("_in")).alias("position"))
+    return alphabets.counting_sort(t.part.select("p_partkey", "p_size"), "p_size", ["p_partkey"]).select("p_partkey", "position")
 
 
 @twin("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, c_custkey) AS position FROM customer")
@@ -457,10 +551,9 @@ def byte_order_sort(t):
     return t.part.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")).alias("position"))
 
 
-@twin("SELECT ch, dense_rank() OVER (ORDER BY ch) AS comp FROM (SELECT DISTINCT substr(p_name, 1, 1) AS ch FROM part)")
+@twin("SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS comp FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''")
 def alphabet_ranks(t):
-    chars = t.part.select(F.substring("p_name", 1, 1).alias("ch")).distinct()
-    return chars.withColumn("comp", F.dense_rank().over(Window.orderBy("ch")))
+    return alphabets.alphabet(t.documents, "text").select("ch", c("comp").cast("bigint").alias("comp"))
 
 
 @twin("""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b, event_id) AS rn FROM (SELECT user_id, event_id, event_id // 20 * 10 AS b, event_id // 20 * 10 + 10 * (1 + CAST(floor(value) AS BIGINT) % 2) AS e FROM events)),
@@ -479,8 +572,8 @@ def concat_adjacent(t):
 
 @twin("SELECT event_id, CAST(string_split(x, '|')[1] AS BIGINT) AS a, string_split(x, '|')[2] AS b, CAST(string_split(x, '|')[3] AS DOUBLE) AS d FROM (SELECT event_id, user_id || '|' || event_type || '|' || CAST(floor(value) AS BIGINT) AS x FROM events)")
 def typed_fields(t):
-    x = F.split(F.concat_ws("|", "user_id", "event_type", F.floor("value")), r"\|")
-    return t.events.select("event_id", x[0].cast("bigint").alias("a"), x[1].alias("b"), x[2].cast("double").alias("d"))
+    lines = t.events.select("event_id", F.concat_ws("|", "user_id", "event_type", F.floor("value")).alias("value"))
+    return sequences.delimited_fields(lines, "a bigint, b string, d double", "|", keep=("event_id",))
 
 
 @twin("SELECT l_orderkey, l_returnflag, CASE WHEN l_returnflag IN ('T', 'Y') THEN true WHEN l_returnflag IN ('F', 'N') THEN false END AS flag FROM lineitem")
@@ -488,21 +581,30 @@ def bool_field(t):
     return t.lineitem.select("l_orderkey", "l_returnflag", text.parse_boolean(c("l_returnflag"), strict=False).alias("flag"))
 
 
-@twin("SELECT event_id, CASE WHEN event_type = 'click' THEN user_id END AS int_value, CASE WHEN event_type <> 'click' THEN event_type END AS text_value FROM events")
+@twin("SELECT event_id, event_type AS tag, CASE WHEN event_type = 'click' THEN user_id END AS click_value, CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) END AS view_value FROM events")
 def conditional_field(t):
-    tag = c("event_type") == "click"
-    return t.events.select("event_id", F.when(tag, c("user_id")).alias("int_value"), F.when(~tag, c("event_type")).alias("text_value"))
+    lines = t.events.select("event_id", F.concat_ws("|", "event_type", "user_id").alias("value"))
+    return sequences.delimited_fields(lines, "tag string", "|", keep=("event_id",), tag="tag", branches={"click": (1, "bigint"), "view": (1, "string")})
 
 
-@twin("SELECT p_partkey, CASE WHEN len(string_split(p_type, ' ')) >= 3 THEN string_split(p_type, ' ')[3] END AS third FROM part")
+@twin("SELECT p_partkey, string_split(x, ' ')[1] AS first, CASE WHEN len(string_split(x, ' ')) >= 2 THEN string_split(x, ' ')[2] END AS second FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_brand || ' ' || p_size END AS x FROM part)")
 def optional_field(t):
-    return t.part.select("p_partkey", F.get(F.split("p_type", " "), F.lit(2)).alias("third"))
+    lines = t.part.select("p_partkey", F.when(c("p_size") % 2 == 0, c("p_brand")).otherwise(F.concat_ws(" ", "p_brand", "p_size")).alias("value"))
+    return sequences.delimited_fields(lines, "first string, second string", " ", keep=("p_partkey",), optional=1)
 
 
-@twin("SELECT p_partkey, array_to_string(string_split(p_type, ' '), ',') AS parts, len(string_split(p_type, ' ')) AS n FROM part")
+@twin("SELECT p_partkey, p_brand AS brand, array_to_string(string_split(p_type, ' '), ',') AS parts, len(string_split(p_type, ' ')) AS n FROM part")
 def repeating_field(t):
-    parts = F.split("p_type", " ")
-    return t.part.select("p_partkey", F.array_join(parts, ",").alias("parts"), F.size(parts).cast("bigint").alias("n"))
+    lines = t.part.select("p_partkey", F.concat_ws(";", "p_brand", "p_type").alias("value"))
+    got = sequences.delimited_fields(lines, "brand string, parts array<string>", ";", keep=("p_partkey",), repeating=" ")
+    return got.select("p_partkey", "brand", F.array_join("parts", ",").alias("parts"), F.size("parts").cast("bigint").alias("n"))
+
+
+@twin("SELECT event_id, 1 AS field, CAST(length(event_type) + 2 AS INT) AS position FROM events WHERE event_type <> 'click'")
+def field_errors(t):
+    text_ = F.concat_ws("|", "event_type", F.when(c("event_type") == "click", c("user_id").cast("string")).otherwise(F.lit("x")))
+    got = sequences.delimited_fields(t.events.select("event_id", text_.alias("value")), "a string, b bigint", "|", keep=("event_id",), mode="PERMISSIVE")
+    return got.where("_error IS NOT NULL").select("event_id", "_error.field", "_error.position")
 
 
 # --- bits and text ------------------------------------------------------------------------------------------------------
@@ -536,10 +638,10 @@ def parse_integer(t):
     return t.part.select("p_partkey", text.parse_integer(F.substring("p_brand", -1, 1)).alias("digit"), text.parse_integer(c("p_name")).alias("whole"))
 
 
-@twin("SELECT event_id, (w >> 63) & 1 AS last, (w >> 56) & 127 AS type, w & ((CAST(1 AS BIGINT) << 56) - 1) AS data FROM (SELECT event_id, ((event_id % 4) << 56) | user_id AS w FROM events)")
+@twin("SELECT event_id, (w >> 63) & 1 = 1 AS last, CAST((w >> 56) & 127 AS INT) AS type, w & ((CAST(1 AS BIGINT) << 56) - 1) AS data FROM (SELECT event_id, ((event_id % 4) << 56) | user_id AS w FROM events)")
 def alloc_log_decode(t):
     w = F.call_function("shiftleft", c("event_id") % 4, F.lit(56)).bitwiseOR(c("user_id"))
-    return t.events.select("event_id", F.shiftrightunsigned(w, 63).alias("last"), F.shiftright(w, 56).bitwiseAND(127).alias("type"), w.bitwiseAND((1 << 56) - 1).alias("data"))
+    return t.events.select("event_id", alloclog.event_fields(w).alias("e")).select("event_id", "e.*")
 
 
 @twin("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) + l_linenumber AS ref_length, CAST(l_quantity AS INT) + 2 AS query_length FROM lineitem")
@@ -565,43 +667,61 @@ def _array(name: str, column, sql: str) -> None:
 
 
 _joined = lambda x: F.array_join(x.cast("array<string>"), ",")
-_array("arr_map", lambda: _joined(F.transform("a", lambda x: x * x)), "array_to_string(list_transform(a, lambda x: x * x), ',')")
-_array("arr_filter", lambda: _joined(F.filter("a", lambda x: x % 2 == 1)), "array_to_string(list_filter(a, lambda x: x % 2 = 1), ',')")
-_array("arr_find", lambda: (F.array_position("a", F.lit(3)) - 1).cast("int"), "CAST(coalesce(list_position(a, 3), 0) - 1 AS INT)")
-_array("arr_fold", lambda: F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s * 3 + x), "list_reduce(list_prepend(CAST(0 AS BIGINT), a), lambda s, x: s * 3 + x)")
-_array("arr_unique", lambda: _joined(F.array_distinct("a")), "array_to_string(list_sort(list_distinct(a)), ',')")
-_array("arr_slice", lambda: _joined(F.slice("a", 2, 3)), "array_to_string(a[2:4], ',')")
-_array("arr_zip", lambda: _joined(F.zip_with("a", F.reverse("a"), lambda x, y: x * 10 + y)), "array_to_string(list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] * 10 + z[2]), ',')")
-_array("arr_cat", lambda: _joined(F.concat("a", F.reverse("a"))), "array_to_string(list_concat(a, list_reverse(a)), ',')")
-_array("arr_head_last", lambda: F.element_at("a", 1) * 100 + F.element_at("a", -1), "a[1] * 100 + a[-1]")
-_array("arr_cross", lambda: _joined(F.flatten(F.transform("a", lambda x: F.transform(F.array(F.lit(1), F.lit(2)), lambda y: x * 10 + y)))), "array_to_string(flatten(list_transform(a, lambda x: list_transform([1, 2], lambda y: x * 10 + y))), ',')")
-_array("arr_default", lambda: F.coalesce(F.get("a", F.lit(4)), F.lit(-1)), "coalesce(a[5], -1)")
-_array("vector_push_reverse", lambda: _joined(F.reverse(F.array_append("a", F.lit(9)))), "array_to_string(list_reverse(list_append(a, 9)), ',')")
+_array("arr_map", lambda: _joined(tuples.fmap("a", lambda x: x * x)), "array_to_string(list_transform(a, lambda x: x * x), ',')")
+_array("arr_filter", lambda: _joined(tuples.keep("a", lambda x: x % 2 == 1)), "array_to_string(list_filter(a, lambda x: x % 2 = 1), ',')")
+_array("arr_find", lambda: tuples.find("a", 3), "CAST(coalesce(list_position(a, 3), 0) - 1 AS INT)")
+_array("arr_fold", lambda: tuples.foldl("a", F.lit(0).cast("bigint"), lambda s, x: s * 3 + x), "list_reduce(list_prepend(CAST(0 AS BIGINT), a), lambda s, x: s * 3 + x)")
+_array("arr_unique", lambda: _joined(tuples.unique("a")), "array_to_string(list_sort(list_distinct(a)), ',')")
+_array("arr_slice", lambda: _joined(tuples.slice_("a", 1, 4)), "array_to_string(a[2:4], ',')")
+_array("arr_zip", lambda: _joined(tuples.pairwise_apply("a", F.reverse("a"), lambda x, y: x * 10 + y)), "array_to_string(list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] * 10 + z[2]), ',')")
+_array("arr_cat", lambda: _joined(tuples.cat("a", F.reverse("a"))), "array_to_string(list_concat(a, list_reverse(a)), ',')")
+_array("arr_head_last", lambda: tuples.head("a") * 100 + tuples.last("a"), "a[1] * 100 + a[-1]")
+_array("arr_cross", lambda: _joined(tuples.cross("a", F.array(F.lit(1), F.lit(2)), lambda x, y: x * 10 + y)), "array_to_string(flatten(list_transform(a, lambda x: list_transform([1, 2], lambda y: x * 10 + y))), ',')")
+_array("arr_default", lambda: tuples.element_or("a", 4, -1), "coalesce(a[5], -1)")
+_array("vector_push_reverse", lambda: _joined(vectors.reverse(vectors.push_back("a", 9))), "array_to_string(list_reverse(list_append(a, 9)), ',')")
+
+_array("arr_erase", lambda: _joined(tuples.erase("a", lambda x: x % 2 == 1)), "array_to_string(list_filter(a, lambda x: x % 2 <> 1), ',')")
+_array("arr_group_by", lambda: F.array_join(F.transform(tuples.group_by("a", lambda x: x % 2), lambda g: F.concat(g["key"].cast("string"), F.lit(":"), F.size(g["elements"]).cast("string"))), ";"), "array_to_string(list_transform(list_filter([a[1] % 2, 1 - a[1] % 2], lambda k: len(list_filter(a, lambda x: x % 2 = k)) > 0), lambda k: k || ':' || len(list_filter(a, lambda x: x % 2 = k))), ';')")
+_array("vector_pack", lambda: F.array_join(vectors.pack("a", 16).cast("array<string>"), ","), "array_to_string(list_transform(generate_series(1, len(a), 4), lambda s: CAST(list_sum(list_transform(generate_series(s, least(s + 3, len(a))), lambda i: CAST(a[i] AS BIGINT) << CAST((i - s) * 16 AS INT))) AS BIGINT)), ',')")
+_array("vector_load", lambda: vectors.load(vectors.pack("a", 8), F.size("a") - 1, 8), "CAST(a[len(a)] AS BIGINT)")
 
 
 @twin("SELECT r_regionkey AS row, n_nationkey AS col, CAST(length(n_name) AS INT) AS val FROM nation JOIN region ON n_regionkey = r_regionkey")
 def matrix_transpose(t):
-    cells = t.nation.select(c("n_nationkey").alias("row"), c("n_regionkey").alias("col"), F.length("n_name").alias("val"))
-    return cells.select(c("col").alias("row"), c("row").alias("col"), "val")
+    return matrices.transpose(t.nation.select(c("n_nationkey").alias("row"), c("n_regionkey").alias("col"), F.length("n_name").alias("val")))
 
 
-@twin("SELECT c_nationkey AS col, count(*) AS val FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL")
+@twin("SELECT c_nationkey AS col, count(*) AS val FROM customer WHERE length(c_mktsegment) = 8 GROUP BY ALL")
 def matrix_row(t):
-    return t.customer.where("c_mktsegment = 'BUILDING'").groupBy(c("c_nationkey").alias("col")).agg(F.count("*").alias("val"))
+    return matrices.row(_segments(t), 8)
 
 
-@twin("SELECT c_mktsegment AS row, count(*) AS val FROM customer WHERE c_nationkey = 3 GROUP BY ALL")
+def _segments(t):
+    """Customers by the length of their segment's name and by nation."""
+    return t.customer.groupBy(F.length("c_mktsegment").alias("row"), c("c_nationkey").alias("col")).agg(F.count("*").alias("val"))
+
+
+@twin("SELECT CAST(length(c_mktsegment) AS INT) AS row, count(*) AS val FROM customer WHERE c_nationkey = 3 GROUP BY ALL")
 def matrix_column(t):
-    return t.customer.where("c_nationkey = 3").groupBy(c("c_mktsegment").alias("row")).agg(F.count("*").alias("val"))
+    return matrices.column(_segments(t), 3)
+
+
+@twin("SELECT row, col, val FROM (SELECT CAST(length(c_mktsegment) AS BIGINT) AS row, CAST(c_nationkey AS BIGINT) AS col, count(*) AS val FROM customer WHERE c_nationkey <> 30 GROUP BY ALL) UNION ALL SELECT i, 30, CASE WHEN i % 2 = 0 THEN 5 ELSE 6 END FROM (SELECT unnest(generate_series(0, 9)) AS i)")
+def matrix_fill_column(t):
+    return matrices.fill_column(_segments(t).select(c("row").cast("bigint").alias("row"), c("col").cast("bigint").alias("col"), "val"), 30, 10, [5, 6])
+
+
+@twin("SELECT idx, val, lag(idx) OVER (ORDER BY idx) AS previous, lead(idx) OVER (ORDER BY idx) AS next FROM (SELECT o_orderkey AS idx, o_custkey AS val FROM orders WHERE o_orderstatus = 'F')")
+def array_list_links(t):
+    return matrices.link(t.orders.where("o_orderstatus = 'F'").select(c("o_orderkey").alias("idx"), c("o_custkey").alias("val")))
 
 
 @twin("""WITH n AS (SELECT event_type AS s, nxt, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL)
-SELECT s, nxt, CAST(sum(n) OVER (PARTITION BY s ORDER BY nxt) AS BIGINT) AS cumulative, CAST(sum(n) OVER (PARTITION BY s) AS BIGINT) AS total FROM n""")
+SELECT s AS src, string_agg(nxt || ':' || upto, ',' ORDER BY nxt) AS targets FROM (SELECT s, nxt, CAST(sum(n) OVER (PARTITION BY s ORDER BY nxt) AS BIGINT) AS upto FROM n) GROUP BY s""")
 def markov_transitions(t):
     nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    n = t.events.select(c("event_type").alias("s"), nxt.alias("nxt")).where("nxt IS NOT NULL").groupBy("s", "nxt").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("s")
-    return n.select("s", "nxt", F.sum("n").over(w.orderBy("nxt")).alias("cumulative"), F.sum("n").over(w).alias("total"))
+    n = t.events.select(c("event_type").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("p"))
+    return chains.thresholds(n).select("src", F.array_join(F.transform("targets", lambda x: F.concat(x["dst"], F.lit(":"), x["upto"].cast("string"))), ",").alias("targets"))
 
 
 _WALK_WEIGHT = "1 + length(a.event_type) * length(b.event_type) % 5"
@@ -609,7 +729,7 @@ _WALK_WEIGHT = "1 + length(a.event_type) * length(b.event_type) % 5"
 
 @twin(f"""WITH RECURSIVE types AS (SELECT DISTINCT event_type FROM events),
 cum AS (SELECT a.event_type AS src, b.event_type AS dst, sum({_WALK_WEIGHT}) OVER (PARTITION BY a.event_type ORDER BY b.event_type) AS upto, row_number() OVER (PARTITION BY a.event_type ORDER BY b.event_type DESC) AS back FROM types a, types b),
-steps AS (SELECT user_id, event_id % 9 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events QUALIFY step <= 4),
+steps AS (SELECT user_id, event_id % 9 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events),
 walk(user_id, step, state) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'click' FROM events
   UNION ALL SELECT w.user_id, s.step, (SELECT coalesce(min(dst) FILTER (upto > s.p), min(dst) FILTER (back = 1)) FROM cum WHERE src = w.state) FROM walk w JOIN steps s ON s.user_id = w.user_id AND s.step = w.step + 1)
 SELECT user_id AS walk, string_agg(state, ',' ORDER BY step) AS states FROM walk GROUP BY user_id""")
@@ -617,14 +737,19 @@ def markov_walk(t):
     types = t.events.agg(F.collect_set("event_type").alias("all"))  # an enumeration of few values
     pairs = types.select("all", F.explode("all").alias("src")).select("src", F.explode("all").alias("dst"))
     weights = pairs.withColumn("p", 1 + F.length("src") * F.length("dst") % 5)
-    first = ordered.rank_before(t.events, ["user_id"], ["event_id"], "step").where("step < 4")
-    steps = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("step", (c("event_id") % 9).alias("p")))).alias("s"))
+    steps = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (c("event_id") % 9).alias("p")))).alias("s"))
     walks = steps.select(c("user_id").alias("walk"), c("s.p").alias("probabilities"))
     return chains.walk(weights, walks, "click").select("walk", F.array_join("states", ",").alias("states"))
 
 
-@twin("SELECT event_id, CASE WHEN event_type = 'click' AND value >= 10 THEN event_type || ':' || user_id ELSE 'id' || row_number() OVER (PARTITION BY value < 10 ORDER BY event_id) END AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click'")
+@twin(f"""SELECT concat_ws(chr(9), 'chr0', pos, CASE WHEN pos % 4 = 0 THEN 'id' || row_number() OVER (PARTITION BY pos % 4 = 0 ORDER BY pos) ELSE 'rs' || pos END, 'A', 'T', '.', 'PASS', '.', 'PS', ps) AS line
+FROM (SELECT pos, string_agg(coalesce(CAST(ps AS VARCHAR), '.'), chr(9) ORDER BY l_linenumber, l_partkey, l_suppkey, q) AS ps FROM {_ROWS} WHERE chrom = 'chr0' GROUP BY pos)""")
 def cat_end_to_end(t):
-    kept = t.events.where("event_type = 'click'").select("event_id", "event_type", "user_id", "props", (c("value") < 10).alias("missing"))
-    name = F.when(~c("missing"), F.concat_ws(":", "event_type", "user_id")).otherwise(F.concat(F.lit("id"), "n"))
-    return positions.numbered(kept, ["event_id"], "n", ["missing"]).select("event_id", name.alias("id"), F.get_json_object("props", "$.k").alias("k"))
+    kept = variants.cat(_records(t), chrom="chr0", snps=True, missing_id_prefix="id", omit_info=True, formats=["PS"], order=("pos",))
+    return vcf.record_text(kept, True).select(c("value").alias("line"))
+
+
+@twin(f'SELECT count(*) AS records, count(*) FILTER (event_type = \'click\') AS chrom_mismatches, count(*) FILTER (event_type <> \'click\' AND NOT EXISTS (SELECT 1 FROM ({_MERGED}) r WHERE r.chrom = v.event_type AND r."begin" <= v.event_id % 20000 - 1 AND v.event_id % 20000 - 1 < r."end")) AS position_mismatches FROM events v')
+def region_counts(t):
+    rows = t.events.select(c("event_type").alias("chrom"), (c("event_id") % 20000).alias("pos"))
+    return variants.region_counts(rows, _regions(t).where("chrom <> 'click'"))
\ No newline at end of file
