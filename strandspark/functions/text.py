@@ -18,11 +18,13 @@ def parse_boolean(c: Column, strict: bool = True) -> Column:
 
 
 def parse_command_arguments(c: Column) -> Column:
-    """Arguments separated by spaces; double quotes group, a doubled quote inside them is a quote; otherwise an error."""
+    """Arguments separated by spaces; double quotes group, a doubled quote inside them is a quote; otherwise an error, with
+    the place (from 1) up to which the text is a list of arguments."""
     pattern = r'(?:"(?:[^"]|"")*"|[^\s"]+)'
     ok = c.rlike(rf"^\s*(?:{pattern}(?:\s+{pattern})*)?\s*$")
+    good = (F.length(F.regexp_extract(c, rf"^\s*(?:{pattern}(?:\s+{pattern})*(?=\s|$))?\s*", 0)) + 1).cast("string")
     args = F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), lambda a: F.when(a.startswith('"'), F.replace(F.substr(a, F.lit(2), F.length(a) - 2), F.lit('""'), F.lit('"'))).otherwise(a))
-    return F.when(ok, args).otherwise(F.raise_error(F.concat(F.lit("not a list of arguments: "), c)).cast("array<string>"))
+    return F.when(ok, args).otherwise(F.raise_error(F.concat(F.lit("not a list of arguments from "), good, F.lit(": "), c)).cast("array<string>"))
 
 
 def hex_bytes(c: Column) -> Column:

@@ -114,6 +114,14 @@ def remove_at(df: DataFrame, index: str, removed: DataFrame) -> DataFrame:
     return df.join(removed, index, "left_anti")
 
 
+def validated(df: DataFrame, order: list[str], skip: Column, stop: Column) -> DataFrame:
+    """The rows in order up to the first at which ``stop`` holds, without that row and without those at which ``skip`` holds (null is
+    no). The place of the stop is one row, which goes to all tasks; nothing is sorted."""
+    holds = lambda x: F.coalesce(x, F.lit(False))
+    at = df.where(holds(stop)).agg(F.min(F.struct(*order)).alias("_stop"))
+    return df.where(~holds(skip)).crossJoin(F.broadcast(at)).where(F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))).drop("_stop")
+
+
 def rank_before(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Occurrences of the group's kind before each row."""
     return positions.numbered(df, order, name, by).withColumn(name, F.col(name) - 1)

@@ -119,6 +119,13 @@ def unique_substring_count(table: DataFrame, bound: int) -> DataFrame:
     return table.groupBy("col").agg(F.count_if(F.col("divergence") > bound).alias("n"))
 
 
+def substring_copies(rows: DataFrame, length: int, bound: int) -> DataFrame:
+    """(col, copies, first_row): by distinct substring from ``bound`` to the column, its number of rows and the least of them."""
+    at = F.explode(F.sequence(F.lit(bound), F.lit(length - 1))).alias("col")
+    cut = rows.select("row_idx", "seq", at).withColumn("_s", F.substr("seq", F.lit(bound + 1), F.col("col") - bound + 1))
+    return cut.groupBy("col", "_s").agg(F.count("*").alias("copies"), F.min("row_idx").alias("first_row")).drop("_s")
+
+
 def substring_runs(rows: DataFrame, length: int, bound: int) -> DataFrame:
     """(col, row_idx, copies, first_row): by row, the number of rows with the same substring from ``bound`` to the column and the least
     of them. A run of the order with divergence <= bound is one distinct substring, so it is found by grouping that substring."""

@@ -23,7 +23,8 @@ def intersection_size(left: Column, right: Column) -> Column:
 
 
 def nonempty_intersection(left: Column, right: Column) -> Column:
-    return F.arrays_overlap(left, right)
+    """Whether a value that is not null is in both."""
+    return F.coalesce(F.arrays_overlap(left, right), F.lit(False))
 
 
 def multiset_intersection_size(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -46,3 +47,9 @@ def mismatched_metadata(meta: DataFrame) -> DataFrame:
     seen = F.struct("number", "type")
     per = meta.groupBy("kind", "id").agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"), F.countDistinct("file").alias("files"))
     return per.where("lo <> hi").select("kind", "id", "files")
+
+
+def matches_that_end(matches: DataFrame, at: str, pair: list[str]) -> DataFrame:
+    """Matches (at, pair, more columns) that are there at a place and not at the next one, by an equi-join."""
+    after = matches.select((F.col(at) - 1).alias(at), *pair).distinct()
+    return matches.join(after, [at, *pair], "left_anti")

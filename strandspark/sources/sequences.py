@@ -46,7 +46,7 @@ def single_sequence(spark: SparkSession, path: str, name: str | None = None) ->
 
 def reference_text(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(id, seq) of a file that holds one sequence as plain text; white space and gaps are removed."""
-    return spark.read.option("wholetext", "true").text(path).select(F.lit(name).alias("id"), F.regexp_replace("value", r"[\s-]", "").alias("seq"))
+    return spark.read.text(path, wholetext=True).select(F.lit(name).alias("id"), F.regexp_replace("value", r"[\s-]", "").alias("seq"))
 
 
 def write_fasta(df: DataFrame, path: str, width: int = 70) -> None:

@@ -105,6 +105,11 @@ def sv_type(alt: Column) -> Column:
     return F.when(alt == ".", "UNKNOWN").when(name != "", F.coalesce(known, F.lit("UNKNOWN_SV"))).otherwise("NONE")
 
 
+def sv_type_text(kind: Column) -> Column:
+    """The symbol of a structural type, as :func:`sv_type` names it; null for types that have none."""
+    return F.coalesce(*[F.when(kind == t.replace(":", "_"), F.lit(f"<{t}>")) for t in SV_TYPES])
+
+
 def genotype(text: Column) -> Column:
     """GT text as array of (alt, phased); a null allele has a null alt, the first allele's phased is false."""
     alleles = F.regexp_extract_all(text, F.lit(r"([|/]?)(\d+|\.)"), F.lit(0))

@@ -266,6 +266,18 @@ def merge_projected_stop(t):
     return ordered.merge_projected(*_two_sides(t), "key", stop_at=300)
 
 
+@twin("SELECT event_id, user_id FROM events WHERE event_type <> 'click' AND event_id < (SELECT coalesce(min(event_id), 1 << 62) FROM events WHERE value > 60 AND event_id > 500)")
+def validator_stop(t):
+    kept = ordered.validated(t.events, ["event_id"], c("event_type") == "click", (c("value") > 60) & (c("event_id") > 500))
+    return kept.select("event_id", "user_id")
+
+
+@twin("WITH m AS (SELECT event_id // 50 AS place, user_id, event_type FROM events) SELECT DISTINCT place, user_id, event_type FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.place = m.place + 1 AND x.user_id = m.user_id AND x.event_type = m.event_type)")
+def match_difference(t):
+    m = t.events.select(F.floor(c("event_id") / 50).alias("place"), "user_id", "event_type").distinct()
+    return sets.matches_that_end(m, "place", ["user_id", "event_type"])
+
+
 @twin("SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k")
 def set_union_sides(t):
     o = t.orders.select(c("o_custkey").alias("key"), "o_orderstatus")
@@ -463,6 +475,11 @@ def unique_substring_runs(t):
     return pbwt.substring_runs(_seq(t), 6, 2)
 
 
+@twin(f"SELECT col, copies, first_row FROM (SELECT col, s, count(*) AS copies, min(row_idx) AS first_row FROM ({_RUNSUB}) GROUP BY col, s)")
+def unique_substring_copies(t):
+    return pbwt.substring_copies(_seq(t), 6, 2)
+
+
 #: Some sequences hold an N.
 _SEQ_N = "(SELECT p_partkey AS row_idx, CASE WHEN p_partkey % 5 = 0 THEN substr(s, 1, CAST(p_partkey % 6 AS INT)) || 'N' || substr(s, CAST(p_partkey % 6 AS INT) + 2) ELSE s END AS seq FROM (SELECT p_partkey, lpad(bin(p_size), 6, '0') AS s FROM part))"
 

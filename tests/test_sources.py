@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.functions import bits, text
-from strandspark.sources import alloclog, sam, sequences
+from strandspark.sources import alloclog, sam, sequences, vcf
 
 
 def write(path, data):
@@ -33,6 +33,16 @@ def test_fasta(spark, tmp_path, data, want):
     assert [(r["id"], r["extra"] if r["id"] else None, r["seq"]) for r in rows] == want
 
 
+def test_compressed_and_plain_reference(spark, tmp_path):
+    fa = write(tmp_path / "x.fa.gz", gzip.compress(b">a\nAC\n>b\nGT\n"))
+    assert [(r["id"], r["seq"]) for r in sequences.read_fasta(spark, fa).orderBy("record_idx").collect()] == [("a", "AC"), ("b", "GT")]
+    head = "##fileformat=VCFv4.3\n##contig=<ID=c1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    p = write(tmp_path / "x.vcf.gz", gzip.compress((head + "c1\t7\t.\tA\tC\t.\t.\t.\n").encode()))
+    assert [(r["pos"], r["_error"]) for r in vcf.read_vcf(spark, p).collect()] == [(7, None)]
+    assert tuple(sequences.reference_text(spark, write(tmp_path / "r.txt", "AC-G\nT T\n"), "one").first()) == ("one", "ACGTT")
+    assert [r[0] for r in spark.createDataFrame([("DEL_ME",), ("NONE",), ("DUP",)], "k string").select(vcf.sv_type_text(F.col("k"))).collect()] == ["<DEL:ME>", None, "<DUP>"]
+
+
 def test_fasta_round_trip(spark, tmp_path):
     rows = [(f"s{i}", [], "ACGTN" * i) for i in range(1, 40)]
     sequences.write_fasta(spark.createDataFrame(rows, "id string, extra array<string>, seq string"), str(tmp_path / "out"))
@@ -212,7 +222,7 @@ def test_functions(spark):
         one(bits.gte_power_of_2(F.lit((1 << 62) + 1), strict=True))
     with pytest.raises(Exception, match="not a boolean"):
         one(text.parse_boolean(F.lit("x")))
-    with pytest.raises(Exception, match="not a list of arguments"):
+    with pytest.raises(Exception, match="not a list of arguments from 3"):
         one(text.parse_command_arguments(F.lit('a "b')))
     assert [one(bits.from_bits(bits.reverse_bits(F.lit(0xED).cast("bigint"), g, 8))) for g in (1, 2, 4, 8)] == [0xB7, 0x7B, 0xDE, 0xED]
     assert [one(bits.gte_power_of_2(F.lit(x).cast("bigint"))) for x in (0, 1, 5, 8, 1 << 62, (1 << 62) + 1)] == [1, 1, 8, 8, 1 << 62, 0]
