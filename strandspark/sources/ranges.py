@@ -1,7 +1,8 @@
 """Files of records read by ranges of bytes, many tasks a file, where only the records themselves tell where one starts.
 
 Each range is searched for its first record, and walked to the first record beyond its end. A search may go wrong, so
-each range's end has to be the next one's start; where it is not, the file is read as one range, from its start.
+each range's end has to be the next one's start, and the last one's the file's; where it is not, the file is read as one
+range, from its start.
 """
 
 from __future__ import annotations
@@ -66,7 +67,10 @@ def indexed(ranges: DataFrame, walk: Callable[[str, int, int, int], tuple[str, s
     w = Window.partitionBy("file").orderBy("lo")
     reach = F.last(F.when(F.col("start") != "", F.col("end")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     linked = found.withColumn("_before", reach)
-    wrong = linked.where("start <> '' AND _before IS NOT NULL AND _before <> start").select("file").distinct()
+    wrong = linked.where("start <> '' AND _before IS NOT NULL AND _before <> start").select("file")
+    # the last range in which a record starts has to end with the file
+    ends = found.where("start <> ''").groupBy("file").agg(F.max_by("end", "lo").alias("_last"))
+    wrong = wrong.union(ends.where("_last <> ''").select("file")).distinct()
     good = linked.join(wrong, "file", "left_anti").where("start <> ''").select("file", "size", "lo", "hi", "start")
     whole = linked.join(wrong, "file", "left_semi").where("lo = 0").select("file", "size", "lo", F.col("size").alias("hi"), "start")
     return positions.checkpointed(good.union(whole))

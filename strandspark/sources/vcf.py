@@ -139,13 +139,13 @@ def info_struct(header: Header, info: str = "info", keys: list[str] | None = Non
         if (keys is None and "reserved" in e) or (keys is not None and k not in keys):
             continue
         v = F.col(info)[k]
-        fields.append((F.coalesce(F.map_contains_key(info, k), F.lit(False)) if e["Type"] == "Flag" else typed(v, e["Number"], e["Type"])).alias(k))
+        fields.append((F.coalesce(F.map_contains_key(info, k), F.lit(False)) if e.get("Type") == "Flag" else typed(v, e.get("Number", "0"), e.get("Type", "String"))).alias(k))
     return F.struct(*fields)
 
 
 def sample_field(header: Header, sample: Column, key: str) -> Column:
     e = header.of("FORMAT")[key]
-    return typed(sample["fields"][key], e["Number"], e["Type"])
+    return typed(sample["fields"][key], e.get("Number", "0"), e.get("Type", "String"))
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], header: Header | None = None, mode: str = "PERMISSIVE", lineno: bool = False, upto: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.functions import bits, text
-from strandspark.sources import alloclog, sam, sequences, vcf
+from strandspark.sources import alloclog, ranges, sam, sequences, vcf
 
 
 def write(path, data):
@@ -33,6 +33,19 @@ def test_fasta(spark, tmp_path, data, want):
     assert [(r["id"], r["extra"] if r["id"] else None, r["seq"]) for r in rows] == want
 
 
+def test_ranges_that_do_not_meet(spark):
+    """A search that goes wrong, in the middle or at the end of a file, makes the file one range."""
+    found = [("a", {0: ("0", "10"), 10: ("10", "20"), 20: ("20", "")}), ("b", {0: ("0", "10"), 10: ("11", "20"), 20: ("20", "")}), ("c", {0: ("0", "13"), 10: ("13", "20"), 20: ("", "")}), ("d", {0: ("0", "21"), 10: ("", ""), 20: ("21", "")}), ("e", {0: ("0", "10"), 10: ("10", "none"), 20: ("20", "")}), ("f", {0: ("0", ""), 10: ("", ""), 20: ("", "")})]
+    table = dict(found)
+    listed = spark.createDataFrame([(f, 25) for f, _ in found], "file string, size bigint")
+    got = ranges.indexed(ranges.cut(listed, 10), lambda file, size, lo, hi: table[file][lo])
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["file"], []).append((r["start"], r["hi"]))
+    whole = [("0", 25)]
+    assert {f: sorted(x, key=lambda y: y[1]) for f, x in by.items()} == {"a": [("0", 10), ("10", 20), ("20", 25)], "b": whole, "c": whole, "d": [("0", 10), ("21", 25)], "e": whole, "f": [("0", 10)]}
+
+
 def test_compressed_and_plain_reference(spark, tmp_path):
     fa = write(tmp_path / "x.fa.gz", gzip.compress(b">a\nAC\n>b\nGT\n"))
     assert [(r["id"], r["seq"]) for r in sequences.read_fasta(spark, fa).orderBy("record_idx").collect()] == [("a", "AC"), ("b", "GT")]
