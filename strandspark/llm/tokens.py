@@ -21,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in the cache; it starts anew when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
 #: Words that one call of the library gets at a time, joined by spaces.
-TOGETHER = 64
+TOGETHER = 256
+#: New words that are Python objects at a time.
+LEARN_WORDS = 1 << 14
 #: Bytes of text that are split into words at a time; a longer text is alone in its slice.
 SLICE_BYTES = 4 << 20
 #: Texts that have to reach the library as they are.
@@ -49,8 +51,9 @@ class Encoder:
     # --- words ---
 
     def _clear(self) -> None:
-        """An empty cache: word -> number, and for each number its ids in ``flat`` from ``start``, ``length`` of them."""
-        self.known: dict[str, int] = {}
+        """An empty cache: the words, and for each its ids in ``flat`` from ``start``, ``length`` of them. Words are an Arrow
+        array, which takes a tenth of a dictionary's memory; Arrow hashes it for each slice."""
+        self.known = pa.array([], pa.large_string())
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -78,17 +81,19 @@ class Encoder:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for got in ids for x in got), self.dtype, int(lengths.sum())), lengths
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of distinct words; what is not there yet is learned. Long words come last and are overwritten by the
         next call, so that the cache is bounded in bytes too."""
-        if len(self.known) + len(words) > CACHE_WORDS and self.known:
+        if len(self.known) + len(words) > CACHE_WORDS and len(self.known):
             self._clear()
-        numbers = list(map(self.known.get, words))
-        new = [i for i, x in enumerate(numbers) if x is None]
-        if new:
-            new.sort(key=lambda i: len(words[i]) > LONGEST_CACHED)
-            kept = sum(len(words[i]) <= LONGEST_CACHED for i in new)
-            flat, lengths = self._learn([words[i] for i in new])
+        numbers = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            long = pc.greater(pc.utf8_length(words.take(pa.array(new))), LONGEST_CACHED).to_numpy(zero_copy_only=False)
+            new = np.concatenate([new[~long], new[long]])
+            kept = int((~long).sum())
+            learned = [self._learn(words.take(pa.array(new[i : i + LEARN_WORDS])).to_pylist()) for i in range(0, len(new), LEARN_WORDS)]
+            flat, lengths = (np.concatenate(x) for x in zip(*learned))
             base, count = len(self.known), len(new)
             while len(self.flat) < self.used + len(flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -98,10 +103,9 @@ class Encoder:
             self.start[base : base + count] = self.used + np.cumsum(lengths) - lengths
             self.length[base : base + count] = lengths
             self.used += int(lengths[:kept].sum())
-            for j, i in enumerate(new):
-                numbers[i] = base + j
-            self.known.update((words[i], base + j) for j, i in enumerate(new[:kept]))
-        return np.array(numbers, np.int64)
+            numbers[new] = base + np.arange(count)
+            self.known = pa.concat_arrays([self.known, words.take(pa.array(new[:kept]))])
+        return numbers
 
     # --- texts ---
 
@@ -116,7 +120,7 @@ class Encoder:
             plain = pc.replace_substring(plain, c, " ")
         lists = pc.split_pattern(plain, " ")
         words = lists.flatten().dictionary_encode()
-        numbers = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        numbers = self._numbers(words.dictionary)[words.indices.to_numpy()]
         ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
         lengths = self.length[numbers]
         total = np.cumsum(lengths)
