@@ -45,17 +45,32 @@ PREFIXES = (4, 5, 6)
 CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
 
 
-def words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of some texts, and for each occurrence its text and its word."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     lists = pc.split_pattern_regex(low, BETWEEN)
     flat = lists.flatten().dictionary_encode()
-    return flat.dictionary.to_pylist(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), flat.indices.to_numpy()
+    return flat.dictionary, np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), flat.indices.to_numpy()
 
 
-def names(word: str) -> tuple[str, ...]:
-    """A word's tokens: itself and, marked by ^, its prefixes."""
-    return (word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)) if word else ()
+def token_lists(texts: pa.Array) -> pa.Array:
+    """Distinct tokens of each text: its words and, marked by ^, their prefixes."""
+    distinct, row, word = words(texts)
+    size = pc.utf8_length(distinct).to_numpy(zero_copy_only=False) if len(distinct) else np.zeros(0, np.int64)
+    kinds = [distinct] + [pc.binary_join_element_wise(pa.scalar("^", pa.large_string()), pc.utf8_slice_codeunits(distinct, 0, n), pa.scalar("", pa.large_string())) for n in PREFIXES]
+    coded = pa.concat_arrays(kinds).dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64).reshape(len(kinds), len(distinct))
+    there = [size >= n for n in (1, *PREFIXES)]
+    pair = np.unique(row * max(len(distinct), 1) + word)
+    row, word = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
+    width = max(len(coded.dictionary), 1)
+    code = np.unique(np.concatenate([row[ok[word]] * width + n[word[ok[word]]] for n, ok in zip(number, there)]))
+    return _lists(code // width, coded.dictionary.take(pa.array(code % width)).cast(pa.string()), len(texts))
+
+
+def _lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """The values by row; ``row`` is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -162,6 +177,7 @@ def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
 class Chain:
     def __init__(self, vocabulary: dict[str, int], weights: list[np.ndarray], threshold: float):
         self.vocabulary, self.weights, self.threshold = vocabulary, weights, threshold
+        self._sets: list | None = None
 
     @classmethod
     def fit(cls, vocabulary: dict[str, int], chosen: np.ndarray, x: Sparse, labels: np.ndarray, fold: np.ndarray) -> Chain:
@@ -178,23 +194,44 @@ class Chain:
             extra = np.column_stack([extra, out])
         return cls(vocabulary, weights, max(0.0, best_threshold(out, labels[:, -1].astype(bool))))
 
+    def _found(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word, feature) for the features of distinct words, by Arrow: the words themselves, then prefixes by length."""
+        if self._sets is None:
+            tokens, numbers = list(self.vocabulary), np.array(list(self.vocabulary.values()), np.int64)
+            kinds = [(None, [i for i, t in enumerate(tokens) if t[0] != "^"])] + [(n, [i for i, t in enumerate(tokens) if t[0] == "^" and len(t) == n + 1]) for n in PREFIXES]
+            self._sets = [(n, pa.array([tokens[i].lstrip("^") for i in at], pa.large_string()), numbers[at]) for n, at in kinds]
+        word, feature = [], []
+        for n, values, numbers in self._sets:
+            got = pc.index_in(distinct if n is None else pc.utf8_slice_codeunits(distinct, 0, n), value_set=values)
+            at = np.flatnonzero(pc.is_valid(got).to_numpy(zero_copy_only=False))
+            if n is not None and len(at):  # a shorter word is no prefix
+                at = at[pc.utf8_length(distinct.take(pa.array(at))).to_numpy() >= n]
+            word.append(at)
+            feature.append(numbers[got.take(pa.array(at)).to_numpy().astype(np.int64)])
+        return np.concatenate(word), np.concatenate(feature)
+
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (rows x categories) and the rejections."""
         distinct, row, word = words(texts)
-        found = [[self.vocabulary[t] for t in names(w) if t in self.vocabulary] for w in distinct]
-        size = np.array([len(f) for f in found], np.int64)
+        owner, feature = self._found(distinct)
+        order = np.argsort(owner, kind="stable")
+        owner, flat = owner[order], feature[order]
+        size = np.bincount(owner, minlength=len(distinct))
+        start = np.cumsum(size) - size
         row, word = row[size[word] > 0], word[size[word] > 0]
-        flat, start = np.array([c for f in found for c in f], np.int64), np.cumsum(size) - size
         each = size[word]
         at = np.arange(int(each.sum())) + np.repeat(start[word] - (np.cumsum(each) - each), each)
-        width = len(self.vocabulary)
-        pair = np.unique(np.repeat(row, each) * max(width, 1) + flat[at])
-        x = Sparse(pair // max(width, 1), pair % max(width, 1), len(texts), width)
+        width = max(len(self.vocabulary), 1)
+        pair = np.unique(np.repeat(row, each) * width + flat[at])
+        x = Sparse(pair // width, pair % width, len(texts), len(self.vocabulary))
         extra = np.zeros((x.n, 0))
         for w in self.weights:
             extra = np.column_stack([extra, _lift(x, extra, w)])
         return _sigmoid(extra + [w[-1] for w in self.weights]), extra[:, -1] > self.threshold
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_sets": None}
+
 
 # --- training over tables -------------------------------------------------------------------------------------------
 
@@ -231,15 +268,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):
-                distinct, row, word = words(texts)
-                known = [names(w) for w in distinct]
-                pair = np.unique(row * len(known) + word) if len(row) else np.zeros(0, np.int64)
-                sets: list[set[str]] = [set() for _ in range(len(texts))]
-                for r, w in zip((pair // max(len(known), 1)).tolist(), (pair % max(len(known), 1)).tolist()):
-                    sets[r].update(known[w])
                 part = batch.slice(at, len(texts))
                 kept = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array([sorted(s) for s in sets], pa.list_(pa.string()))], names=[*kept, "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), token_lists(texts)], names=[*kept, "tokens"])
                 at += len(texts)
 
     fold = F.pmod(F.xxhash64(F.lit(66), "id"), F.lit(FOLDS)).cast("int").alias("fold")
@@ -247,12 +278,17 @@ def train_chain(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col
     train = materialize(rows.mapInArrow(tokenised, "id bigint, toxic int, quality int, fold int, tokens array<string>"), "toxicity-train")
     vocabulary, chosen = _features(train)
 
+    known = pa.array(list(vocabulary), pa.string())
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([sorted(vocabulary[t] for t in ts if t in vocabulary) for ts in batch.column("tokens").to_pylist()], pa.list_(pa.int32()))
+            lists = batch.column("tokens")
+            row, got = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()), pc.index_in(lists.flatten(), value_set=known)
+            at = np.flatnonzero(pc.is_valid(got).to_numpy(zero_copy_only=False))
+            x = _lists(row[at], got.take(pa.array(at)), len(lists))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "toxic", "quality", "fold")), x], names=["id", "toxic", "quality", "fold", "x"])
 
-    got = train.mapInArrow(encoded, "id bigint, toxic int, quality int, fold int, x array<int>").orderBy("id").collect()
+    got = sorted(train.mapInArrow(encoded, "id bigint, toxic int, quality int, fold int, x array<int>").collect(), key=lambda r: r["id"])
     toxic, good = np.array([r["toxic"] == 1 for r in got], bool), np.array([r["quality"] != 0 for r in got], bool)
     x = Sparse(np.repeat(np.arange(len(got)), [len(r["x"]) for r in got]), np.array([c for r in got for c in r["x"]], np.int64), len(got), len(vocabulary))
     return Chain.fit(vocabulary, chosen, x, np.column_stack([toxic & good, toxic & ~good, toxic]).reshape(-1, len(CATEGORIES)), np.array([r["fold"] for r in got], np.int64))
