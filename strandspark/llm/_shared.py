@@ -67,6 +67,13 @@ def claim(spark: SparkSession, path: str, text: str) -> bool:
             return True
         except FileExistsError:
             return False
+        except OSError:  # a mount without links: created for itself alone, then written
+            try:
+                with open(place, "x", encoding="utf-8") as out:
+                    out.write(text)
+                return True
+            except FileExistsError:
+                return False
         finally:
             os.remove(tmp)
     q, _ = _hadoop(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")

@@ -10,7 +10,7 @@ Template: ``<s>`` opens a conversation and each turn is ``[INST]role[/INST]text<
 becomes ``\\0`` and the four control strings become ``\\1`` to ``\\4``, so control strings in the output are always the
 template's own and reading back is exact.
 
-Defined cases: null role or text is empty; a parent that is null or not in the tree makes its node a root; repeated
+Defined cases: null role or text is empty; repeated nodes count once, by their least row; null nodes are left out; a parent that is null or not in the tree makes its node a root; repeated
 (conversation, turn) rows are all kept, ordered by role and text; nodes of a cycle raise an error; empty input, empty
 result. Other columns are ignored.
 """
@@ -61,9 +61,13 @@ def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
     return paths
 
 
-def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
+def format_trees(nodes: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """One row per chosen path: tree, leaf, branch_rank, formatted, loss_spans (first code point from 1, and length, of
-    each assistant text). ``nodes``: tree, node, parent, role, text, score."""
+    each assistant text). ``nodes``: tree, node, parent, role, text, score; of rows that share tree and node the least
+    counts. ``unique`` says that there are none, and spares looking."""
+    if not unique:
+        row = F.struct("parent", "role", "text", "score")
+        nodes = materialize(nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(row).alias("r")).select("tree", "node", "r.*"), "chat-unique")
     paths = root_to_leaf_paths(nodes)
     body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
     on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
@@ -110,7 +114,7 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
 def conversation_digests(conversations: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives, one row per conversation."""
     rows = materialize(linear_trees(conversations), "chat-rows")
-    out = format_trees(rows).withColumn("turns", read_back(F.col("formatted")))
+    out = format_trees(rows, unique=True).withColumn("turns", read_back(F.col("formatted")))
     masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.withColumn("masked", masked).select(

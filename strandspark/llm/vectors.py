@@ -36,7 +36,7 @@ from strandspark.llm._shared import P, discard, fresh_dir, materialize, read_fil
 
 SHARDS = 4
 #: Bytes of a shard's vectors in double precision, at most.
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 128 << 20
 BLOCK = 1024
 #: Blocks of one task and pair of shards.
 BLOCKS = 8

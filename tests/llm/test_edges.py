@@ -130,6 +130,8 @@ def test_chat_branches(spark):
     got = {(r["tree"], r["branch_rank"]): r["formatted"] for r in chat.format_trees(df, top=2).collect()}
     assert got[(1, 1)] == "<s>[INST]user[/INST]q</s>[INST]assistant[/INST]good</s>[INST]user[/INST]more</s>"
     assert got[(1, 2)].endswith("bad</s>") and got[(2, 1)] == "<s>[INST]user[/INST]lone</s>" and len(got) == 3
+    twice = df.unionByName(df).unionByName(df.where("node = 3").withColumn("text", F.lit("later"))).unionByName(df.limit(1).withColumn("node", F.lit(None).cast("bigint")))
+    assert {(r["tree"], r["branch_rank"]): r["formatted"] for r in chat.format_trees(twice, top=2).collect()} == got
     loop = spark.createDataFrame([(1, 1, 2, "u", "x", 0.0), (1, 2, 1, "u", "y", 0.0)], df.schema)
     with pytest.raises(ValueError, match="cycle"):
         chat.format_trees(loop)
