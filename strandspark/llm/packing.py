@@ -36,52 +36,45 @@ TASK_BYTES = 1 << 20
 WHOLE = 64
 
 
-class _Tree:
-    """Groups of items as a forest of unions, so that merging two groups costs nothing."""
-
-    def __init__(self, n: int):
-        self.left: list[int] = []
-        self.right: list[int] = []
-        self.n = n
-
-    def union(self, a: int, b: int) -> int:
-        self.left.append(a)
-        self.right.append(b)
-        return self.n + len(self.left) - 1
-
-    def items(self, g: int) -> list[int]:
-        out, todo = [], [g]
-        while todo:
-            x = todo.pop()
-            if x < self.n:
-                out.append(x)
-            else:
-                todo += (self.left[x - self.n], self.right[x - self.n])
-        return sorted(out)
-
-
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Items of each of k windows. A partial partition is its non-empty windows in descending order of size."""
-    tree = _Tree(len(sizes))
-    heap = [(-s, i, np.array([s], np.int64), [i]) for i, s in enumerate(sizes)]
+    """Items of each of k windows. A partial partition is its non-empty windows in descending order of size. A window is a
+    number: an item's, or that of the union of two windows, so merging costs nothing for the items inside."""
+    n = len(sizes)
+    if not n:
+        return []
+    heap = [(-s, i, np.array([s], np.int64), np.array([i], np.int64)) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    stamp = len(sizes)
+    left: list[int] = []
+    right: list[int] = []
+    stamp = n
     while len(heap) > 1:
         _, _, sa, ga = heapq.heappop(heap)
         _, _, sb, gb = heapq.heappop(heap)
         both = len(sa) + len(sb) - k
         if both > 0:  # the smallest windows of one meet the largest that have no empty window left to meet
             keep_a, keep_b = len(sa) - both, len(sb) - both
+            made = np.arange(n + len(left), n + len(left) + both)
+            left += ga[keep_a:].tolist()
+            right += gb[keep_b:][::-1].tolist()
             sums = np.concatenate([sa[:keep_a], sb[:keep_b], sa[keep_a:] + sb[keep_b:][::-1]])
-            groups = ga[:keep_a] + gb[:keep_b] + [tree.union(x, y) for x, y in zip(ga[keep_a:], reversed(gb[keep_b:]))]
+            groups = np.concatenate([ga[:keep_a], gb[:keep_b], made])
         else:
-            sums, groups = np.concatenate([sa, sb]), ga + gb
-        order = np.argsort(-sums, kind="stable")
-        sums, groups = sums[order], [groups[i] for i in order]
+            sums, groups = np.concatenate([sa, sb]), np.concatenate([ga, gb])
+        order = (-sums).argsort(kind="stable")
+        sums, groups = sums[order], groups[order]
         least = int(sums[-1]) if len(sums) == k else 0
         heapq.heappush(heap, (least - int(sums[0]), stamp, sums, groups))
         stamp += 1
-    return [tree.items(g) for g in heap[0][3]] if heap else []
+    window = [-1] * (n + len(left))
+    last = heap[0][3].tolist()
+    for w, g in enumerate(last):
+        window[g] = w
+    for u in range(len(left) - 1, -1, -1):  # a union is made after its parts
+        window[left[u]] = window[right[u]] = window[n + u]
+    out: list[list[int]] = [[] for _ in last]
+    for i in range(n):
+        out[window[i]].append(i)
+    return out
 
 
 def pack_block(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
