@@ -211,7 +211,8 @@ def chunks(sequences: DataFrame) -> DataFrame:
 
 
 def reference_bases(df: DataFrame, sequences: DataFrame, pos0: Column, length: Column, name: str) -> DataFrame:
-    """Add the reference's bases at a 0-based position, by an equi-join on (chrom, bin); null outside of it. Records are numbered
+    """Add the reference's bases at a 0-based position, by an equi-join on (chrom, bin); null outside of it, and only
+    what is there where it ends inside. Records are numbered
     in a written table, so that a number means the same record wherever it is read."""
     spans = F.sequence(F.floor(F.col("_p") / CHUNK), F.floor((F.col("_p") + F.greatest(F.col("_n"), F.lit(1)) - 1) / CHUNK))
     keyed = positions.checkpointed(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", pos0).withColumn("_n", length))
@@ -221,7 +222,8 @@ def reference_bases(df: DataFrame, sequences: DataFrame, pos0: Column, length: C
     lo, hi = F.greatest(F.col("_p") - F.col("_b") * CHUNK, F.lit(0)), F.least(F.col("_p") + F.col("_n") - F.col("_b") * CHUNK, F.lit(CHUNK))
     piece = F.struct("_b", F.substr("chunk", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("x"))
     bases = hit.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["x"]), "").alias(name))
-    return keyed.join(bases, "_id", "left").drop("_id", "_p", "_n")
+    inside = F.when((F.col("_n") <= 0) | (F.col(name) != ""), F.col(name))
+    return keyed.join(bases, "_id", "left").withColumn(name, inside).drop("_id", "_p", "_n")
 
 
 def with_expected(df: DataFrame, sequences: DataFrame) -> DataFrame:
