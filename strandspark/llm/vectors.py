@@ -38,6 +38,8 @@ SHARDS = 4
 #: Bytes of a shard's vectors in double precision, at most.
 SHARD_BYTES = 128 << 20
 BLOCK = 1024
+#: Queries that walk a graph together.
+TOGETHER = 256
 #: Blocks of one task and pair of shards.
 BLOCKS = 8
 AUDIT = 512
@@ -54,7 +56,7 @@ class SmallWorld:
     layer's nodes are the first ones; those that come within ``join`` (a cosine) of a node are its members and leave the graph.
     ``order``: the given numbers of the nodes; ``leader``: for each given vector, its node."""
 
-    def __init__(self, x: np.ndarray, join: float, m: int = 12, ef: int = 32, seed: int = 5):
+    def __init__(self, x: np.ndarray, join: float, m: int = 16, ef: int = 32, seed: int = 5):
         n = len(x)
         self.m, self.join = m, join + 1e-5  # in single precision
         level = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(m)).astype(int), 12)
@@ -232,8 +234,8 @@ class SmallWorld:
         todo, n = np.arange(len(q)), len(self.x)
         while len(todo) and 0 < ef <= WIDEST:
             again = []
-            for at in range(0, len(todo), 256):
-                part = todo[at : at + 256]
+            for at in range(0, len(todo), TOGETHER):
+                part = todo[at : at + TOGETHER]
                 ids, sims = self.search(q[part], ef)
                 wider = (sims[:, -1] >= least[part]) & (ids.shape[1] < n)
                 again.append(part[wider])
