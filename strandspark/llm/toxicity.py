@@ -39,7 +39,7 @@ FOLDS = 5
 SIGNIFICANT = 10.83
 L2 = 1e-4
 #: Bytes of text whose words are Arrow arrays at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BETWEEN = r"[^\p{L}]+"
 PREFIXES = (4, 5, 6)
 CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
